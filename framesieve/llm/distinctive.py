@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import stored
 
 
-def term_frequencies(texts: DataFrame, record_col: str, text_col: str) -> DataFrame:
-    """(record, term, tf, texts): occurrences, and texts of the record that hold the term.
+#: A record with more than this share of all texts is spread over tasks; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 200
+
 
-    texts has one row for each text of a record. Rows without record, and null, empty or wordless texts, give nothing."""
-    tokens = texts.select(F.col(record_col).alias("record"), words(text_col).alias("words")).filter("record is not null and size(words) > 0")
+def _counted(texts: DataFrame) -> DataFrame:
+    """(record, term, tf, texts) of rows (record, text_id, text), each text_id once a record."""
+    once = texts.groupBy("record", "text_id").agg(F.min("text").alias("text"))
+    tokens = once.select("record", words("text").alias("words")).filter("size(words) > 0")
     # A word is counted for its text where it occurs first, so texts need no key of their own.
     placed = tokens.select("record", "words", F.posexplode("words").alias("at", "term"))
     first = (F.array_position("words", F.col("term")) == F.col("at") + 1).cast("bigint")
@@ -25,6 +29,23 @@ def term_frequencies(texts: DataFrame, record_col: str, text_col: str) -> DataFr
     return marked.groupBy("record", "term").agg(F.count("*").alias("tf"), F.sum("first").alias("texts"))
 
 
+def term_frequencies(texts: DataFrame, record_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(record, term, tf, texts): occurrences, and texts of the record that hold the term.
+
+    texts has a row for each delivery of a text of a record; an id counts once a record, its smallest text stands. Rows
+    without record or id, and null, empty or wordless texts, give nothing. Other columns of texts are ignored.
+
+    Texts are routed by record once and counted where they are, so the far more numerous pairs of record and term
+    are not shuffled. Records with very many texts are left out of that and counted by pair."""
+    rows = texts.select(F.col(record_col).alias("record"), F.col(id_col).alias("text_id"), F.col(text_col).cast("string").alias("text")).filter("record is not null and text_id is not null and text is not null")
+    sizes = rows.groupBy("record").agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = [r.record for r in sizes.filter(F.col("n") > max(1000.0, HOT_SHARE * total)).collect()]  # at most 1 / HOT_SHARE
+    is_hot = F.col("record").isin(hot) if hot else F.lit(False)
+    cold = _counted(rows.filter(~is_hot).repartition("record"))
+    return stored(cold.unionByName(_counted(rows.filter(is_hot))) if hot else cold, "frequencies")
+
+
 def log_entropy(frequencies: DataFrame, n_records: int) -> DataFrame:
     """Adds records (that hold the term), weight and score to rows of term_frequencies().
 

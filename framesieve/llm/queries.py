@@ -99,11 +99,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
-    first = one_per_id(_read(spark, d, "sentences"), "sen_id", "video_id", "caption").select("video_id", F.col("caption").alias("text"))
-    second = _read(spark, d, "baseline_results").select("video_id", F.col("generated_caption").alias("text"))
-    frequencies = distinctive.term_frequencies(first.unionAll(second), "video_id", "text")
-    n = first.select("video_id").unionAll(second.select("video_id")).agg(F.count_distinct("video_id")).first()[0]
-    return distinctive.log_entropy(frequencies, n).withColumnRenamed("record", "video_id")
+    # Ids of the two tables may be equal; doubled, and plus one, they differ.
+    first = _read(spark, d, "sentences").select("video_id", (F.col("sen_id") * 2).alias("text_id"), F.col("caption").alias("text"))
+    second = _read(spark, d, "baseline_results").select("video_id", (F.col("row_id") * 2 + 1).alias("text_id"), F.col("generated_caption").alias("text"))
+    texts = first.unionAll(second)
+    n = texts.agg(F.count_distinct("video_id")).first()[0]
+    return distinctive.log_entropy(distinctive.term_frequencies(texts, "video_id", "text_id", "text"), n).withColumnRenamed("record", "video_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
