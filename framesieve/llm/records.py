@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import py_words
 from ..session import stored
 
-#: Bytes by which a bucket's prefix grows when it is split.
+#: Bytes of the first digit; the prefix doubles with every further one, so that long common beginnings take few passes.
 DIGIT = 8
 
 
@@ -117,19 +117,19 @@ def radix_buckets(blocks: DataFrame, bucket_rows: int, max_splits: int = 65536)
 
     One pass per digit, over the rows of oversized buckets only. The prefixes that were split are joined by value, not
     broadcast by hand; raising bucket_rows with the input keeps them at max_splits a digit. A bucket of equal strings
-    cannot grow beyond one row a block and is left as it is when its bytes end."""
+    is not split: it has one row a block, and its trie one node."""
     bucket_rows = max(bucket_rows, -(-blocks.count() // max_splits))
-    done, open_rows, depth = None, blocks, 0
+    done, open_rows, depth = None, blocks, DIGIT
     while True:
-        depth += DIGIT
         cut = open_rows.withColumn("bucket", F.substring("canon", 1, depth))
-        sizes = cut.groupBy("bucket").agg(F.count("*").alias("n"))
-        large = sizes.filter((F.col("n") > bucket_rows) & (F.length("bucket") == depth)).select("bucket")
+        sizes = cut.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("canon")).alias("least"), F.max(F.xxhash64("canon")).alias("most"))
+        large = sizes.filter((F.col("n") > bucket_rows) & (F.col("least") < F.col("most"))).select("bucket")
         if large.isEmpty():
             return cut if done is None else done.unionByName(cut)
         fits = cut.join(large, "bucket", "left_anti")
         done = fits if done is None else done.unionByName(fits)
         open_rows = cut.join(large, "bucket", "left_semi").drop("bucket")
+        depth *= 2
 
 
 def same_records(df: DataFrame, id_col: str, payload_col: str, bucket_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
