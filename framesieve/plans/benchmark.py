@@ -1,6 +1,7 @@
 """The whole benchmark as one chain of tables: select, caption, aggregate, score, assemble, summarise.
 
-Where a program would loop over samplers, aggregators, modes and videos, each stage here is one table for all of them."""
+Where a program would loop over samplers, aggregators, modes and videos, each stage here is one table for all of them.
+Captions and scores are written to the shared folder: what costs model calls is made once, and survives lost executors."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import combine, infer, runs, score, stats
+from ..session import stored
 
 
 @dataclass
@@ -27,7 +29,7 @@ def frame_captions(selected: DataFrame, frames: DataFrame, models: Models) -> tu
     """(captions, skipped): one caption for each selected frame (video_id, sampling_method, frame_idx); a frame chosen by several samplers is captioned once."""
     wanted = selected.select("video_id", "frame_idx").distinct()
     told = infer.captioned(frames.join(wanted, ["video_id", "frame_idx"]), "data", models.caption, batch=models.batch).select("video_id", "frame_idx", "caption", "error", "seconds")
-    good, skipped = infer.succeeded(told)
+    good, skipped = infer.succeeded(stored(told, "frame-captions"))  # models are not called again by later stages
     return selected.join(good, ["video_id", "frame_idx"]), skipped
 
 
@@ -46,7 +48,7 @@ def finished(combined: DataFrame, modes: DataFrame, transcripts: DataFrame | Non
     direct, asked = rows.filter("caption_mode = 'vlm_only'"), rows.filter("caption_mode <> 'vlm_only'")
     answered = infer.captioned(asked, "prompt", models.answer, output="answer", placeholder=text.NO_ANSWER).drop("error", "seconds") if models.answer else asked.withColumn("answer", F.lit(None).cast("string"))
     both = direct.withColumn("answer", F.lit(None).cast("string")).unionByName(answered)
-    return both.withColumn("caption", text.final_caption("prompt", "answer", "caption_mode")).drop("prompt", "answer")
+    return stored(both.withColumn("caption", text.final_caption("prompt", "answer", "caption_mode")).drop("prompt", "answer"), "final-captions")
 
 
 def scored(final: DataFrame, references: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def scored(final: DataFrame, references: DataFrame, corpus: DataFrame) -> DataFr
     own = final.select(*keys, "caption").withColumn("id", F.concat_ws("\x1f", *keys))
     refs = references.join(own.select("video_id", "id"), "video_id").select("id", "ref_no", "caption")
     idf = score.document_frequency(corpus, "video_id", "caption")
-    return own.select("id", *keys).join(score.all_metrics(refs, own.select("id", "caption"), idf), "id").drop("id")
+    return stored(own.select("id", *keys).join(score.all_metrics(refs, own.select("id", "caption"), idf), "id").drop("id"), "scores")
 
 
 def summary(rows: DataFrame) -> DataFrame:

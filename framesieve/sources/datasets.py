@@ -48,7 +48,7 @@ def reference_captions(splits: list[DataFrame]) -> DataFrame:
         id_col, caption_col = detect_fields(split.columns)
         kind = split.schema[caption_col].dataType.typeName()
         captions = F.explode(caption_col) if kind == "array" else F.col(caption_col)
-        parts.append(split.select(F.trim(F.col(id_col).cast("string")).alias("video_id"), captions.cast("string").alias("caption")))
+        parts.append(split.select(F.trim(F.col(id_col).cast("string")).alias("video_id"), captions.alias("caption")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -65,7 +65,9 @@ def frame_selections(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     """(records, unreadable files) of a folder of JSON objects; records have their file's name for an order."""
     rows = spark.read.schema(FRAME_SELECTION + ", corrupt string").option("columnNameOfCorruptRecord", "corrupt").option("mode", "PERMISSIVE").json(folder, multiLine=True)
     rows = rows.withColumn("file", F.col("_metadata.file_path"))
-    return rows.filter("corrupt is null").drop("corrupt"), rows.filter("corrupt is not null").select("file")
+    # A record without its sampler's name is of no use either; Spark wants another column than the corrupt text to be read.
+    bad = F.col("corrupt").isNotNull() | F.col("sampler").isNull()
+    return rows.filter(~bad).drop("corrupt"), rows.filter(bad).select("file")
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
