@@ -28,7 +28,7 @@ PRICE = re.compile(r"[$€£¥]\s?\d[\d.,]*")
 NUMBER = re.compile(r"\d+")
 WORD = re.compile(r"[^\W_]+")
 #: Runs of letters and digits that are no words, such as hashes and encoded data.
-BLOB = re.compile(r"[\w+/=]{40,}")
+BLOB = re.compile(r"[A-Za-z0-9_+/=]{40,}")
 SENTENCE_END = r"[.!?。।؟…！？]+[\"'”’»)\]]*"
 SEGMENT = re.compile(rf"[^\n\r]*?{SENTENCE_END}(?=\s|$)\s*|[^\n\r]*?[。！？]|[^\n\r]+(?:[\n\r]+\s*|$)|[\n\r]+\s*")
 END = re.compile(rf"{SENTENCE_END}\s*$")
@@ -36,12 +36,17 @@ END = re.compile(rf"{SENTENCE_END}\s*$")
 WIDE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 
 
+def without_links(text: str, sign: str) -> str:
+    """The text with a sign for each link; a text without any character that links need is not searched."""
+    return LINK.sub(sign, text) if "/" in text or "](" in text or "www." in text.lower() else text
+
+
 def is_sentence(segment: str) -> bool:
     """Ends with sentence punctuation and has, beside links, at least five words (or eight letters of a script without spaces)."""
     if not END.search(segment):
         return False
-    rest = LINK.sub(" ", segment)
-    return len(WORD.findall(rest)) >= 5 or len(WIDE.findall(rest)) >= 8
+    rest = without_links(segment, " ")
+    return len(WORD.findall(rest)) >= 5 or (not rest.isascii() and len(WIDE.findall(rest)) >= 8)
 
 
 def deflated(raw: bytes) -> int:
@@ -55,15 +60,15 @@ def blocks(text: str) -> list[tuple[bool, int, int, int]]:
     out = []
     for sentences, group in itertools.groupby(SEGMENT.findall(text), key=is_sentence):
         block = "".join(group)
-        signs = LINK.sub("\x01", block.lower())
-        links = len(block) - len(signs)
-        signs = TAG.sub("\x02", signs)
-        plain = BLOB.sub("", signs)
-        chars = len(block) - (len(signs) - len(plain))
-        letters = links + (len(block) - links - len(signs)) + sum(map(str.isalpha, plain))
-        if not sentences and letters < 0.4 * len(block):
-            chars = 0
-        out.append((sentences, chars, max(1, len(block.encode("utf-8", "surrogatepass"))), deflated(NUMBER.sub("0", PRICE.sub("\x03", plain)).encode("utf-8", "surrogatepass"))))
+        unlinked = without_links(block.lower(), "\x01")
+        plain = TAG.sub("\x02", unlinked) if "#" in unlinked else unlinked
+        signs = BLOB.sub("", plain) if max(map(len, plain.split()), default=0) >= 40 else plain
+        chars = len(block) - (len(plain) - len(signs))
+        if not sentences:
+            letters = len(block) - len(plain) + sum(map(str.isalpha, signs))  # links and tags count as letters
+            if letters < 0.4 * len(block):
+                chars = 0
+        out.append((sentences, chars, max(1, len(block.encode("utf-8", "surrogatepass"))), deflated(NUMBER.sub("0", PRICE.sub("\x03", signs)).encode("utf-8", "surrogatepass"))))
     return out
 
 
