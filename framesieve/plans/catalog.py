@@ -393,11 +393,19 @@ _METRICS = [m for m in stats.METRICS]
 _KEYS = ", ".join(stats.KEYS)
 _VALUES = ", ".join(f"CASE WHEN NOT isnan({m}::DOUBLE) THEN {m}::DOUBLE END AS {m}" for m in _METRICS)
 _STATS = f"{_LAST}, v AS (SELECT {_KEYS}, {_VALUES} FROM RUNS WHERE sampling_method IS NOT NULL AND aggregation_method IS NOT NULL AND caption_mode IS NOT NULL)"
-_FIVE = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(median({m}), 6) AS {m}_median, round(CASE WHEN count({m}) > 0 THEN coalesce(stddev_samp({m}), 0) END, 6) AS {m}_std, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max" for m in _METRICS)
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+def _round(x: str) -> str:
+    """Six digits; exact halves, which means of few decimals often are, are moved up alike on both engines."""
+    return f"round(({x}) * 1.000000000001, 6)"
+
+
+_FIVE = ", ".join(f"{_round(f'avg({m})')} AS {m}_mean, {_round(f'median({m})')} AS {m}_median, {_round(f'CASE WHEN count({m}) > 0 THEN coalesce(stddev_samp({m}), 0) END')} AS {m}_std, {_round(f'min({m})')} AS {m}_min, {_round(f'max({m})')} AS {m}_max" for m in _METRICS)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """_round() of all doubles."""
+    return df.select(*(F.round(F.col(c) * 1.000000000001, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 @query(f"WITH {_STATS} SELECT {_KEYS}, count(*) AS count, {_FIVE} FROM v GROUP BY {_KEYS}")
@@ -412,7 +420,7 @@ def _ci_sql(m: str) -> str:
         low, high = (f"least(1.0, greatest(0.0, {x}))" for x in (low, high))
     elif m != "semantic_yield":
         low, high = (f"greatest(0.0, {x})" for x in (low, high))
-    return f"round(CASE WHEN n_{m} < 2 OR s_{m} = 0 THEN a_{m} ELSE {low} END, 6) AS {m}_ci95_lower, round(CASE WHEN n_{m} < 2 OR s_{m} = 0 THEN a_{m} ELSE {high} END, 6) AS {m}_ci95_upper"
+    return f"{_round(f'CASE WHEN n_{m} < 2 OR s_{m} = 0 THEN a_{m} ELSE {low} END')} AS {m}_ci95_lower, {_round(f'CASE WHEN n_{m} < 2 OR s_{m} = 0 THEN a_{m} ELSE {high} END')} AS {m}_ci95_upper"
 
 
 _CI_METRICS = ["cider", "meteor", "frames_selected", "semantic_yield"]
@@ -435,7 +443,7 @@ _BEST = f"""{_STATS}, g AS (SELECT {_KEYS}, avg(cider) AS q, avg(processing_time
 
 
 def _top(role: str, c: str, order: str) -> str:
-    return f"SELECT * FROM (SELECT '{role}' AS role, {_KEYS}, round({c}, 6) AS value FROM g ORDER BY {c} {order} NULLS LAST, {_KEYS} LIMIT 1)"
+    return f"SELECT * FROM (SELECT '{role}' AS role, {_KEYS}, {_round(c)} AS value FROM g ORDER BY {c} {order} NULLS LAST, {_KEYS} LIMIT 1)"
 
 
 @query(f"WITH {_BEST} {_top('best', 'q', 'DESC')} UNION ALL {_top('fastest', 'p', '')} UNION ALL {_top('least_vram', 'w', '')} UNION ALL {_top('least_ram', 'y', '')}")
@@ -443,7 +451,7 @@ def rank_best(spark, d):
     return _rounded(stats.highlights(stats.grouped_statistics(_runs(spark, d))))
 
 
-_POINTS = f"{_STATS}, m AS (SELECT {_KEYS}, round(avg(processing_time_s), 6) AS processing_time_s, round(avg(cider), 6) AS cider FROM v GROUP BY {_KEYS})"
+_POINTS = f"{_STATS}, m AS (SELECT {_KEYS}, {_round('avg(processing_time_s)')} AS processing_time_s, {_round('avg(cider)')} AS cider FROM v GROUP BY {_KEYS})"
 
 
 @query(f"WITH {_POINTS} SELECT * FROM m")
@@ -461,7 +469,7 @@ def frontier(spark, d):
     return stats.frontier(_rounded(stats.plot_means(_runs(spark, d))))
 
 
-@query(f"WITH {_STATS} SELECT sampling_method || ' + ' || aggregation_method AS pipeline_config, caption_mode, metric, round(avg(x), 6) AS mean, count(*) AS n FROM (UNPIVOT v ON {', '.join(stats.BAR_METRICS)} INTO NAME metric VALUE x) GROUP BY ALL")
+@query(f"WITH {_STATS} SELECT sampling_method || ' + ' || aggregation_method AS pipeline_config, caption_mode, metric, {_round('avg(x)')} AS mean, count(*) AS n FROM (UNPIVOT v ON {', '.join(stats.BAR_METRICS)} INTO NAME metric VALUE x) GROUP BY ALL")
 def bar_means(spark, d):
     return _rounded(stats.bar_means(_runs(spark, d)))
 
