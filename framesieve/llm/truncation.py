@@ -6,8 +6,8 @@ variable of the neighbours' rate, at a false-discovery rate of q within a source
 
 Endings: a text is complete if it ends with sentence punctuation, and cut if it ends with a sign of a cut, with
 an open bracket or comma, or without punctuation although its own style has it. What is left, clauses without a full
-stop, is judged by how words end and go on in all such clauses: the last word, the last pair, and the two words
-before the last. A last word hardly seen elsewhere that begins many others was cut inside. At a limit length weaker
+stop, is judged by how words end and go on in all such clauses: the last word, the last pair, the two words before the
+last, and the two before those. A last word hardly seen elsewhere that begins many others was cut inside. At a limit length weaker
 evidence is enough.
 """
 
@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,11 +69,10 @@ def tokens(text: str) -> list[str]:
     return ["0" if x.isdecimal() else x for x in TOKEN.findall(text.lower())]
 
 
-def keys_at(words: list[str], k: int) -> tuple[str, str, str]:
-    """What is counted of the word at k: itself, with the one before, and the two before it whatever it is."""
-    one = words[k - 1] if k else "^"
-    two = words[k - 2] if k > 1 else "^"
-    return f"1 {words[k]}", f"2 {one} {words[k]}", f"3 {two} {one}"
+def keys_at(words: list[str], k: int) -> tuple[str, str, str, str]:
+    """What is counted of the word at k: itself, with the one before, the two before it whatever it is, and the two before the last two."""
+    one, two, three = (words[k - n] if k >= n else "^" for n in (1, 2, 3))
+    return f"1 {words[k]}", f"2 {one} {words[k]}", f"3 {two} {one}", f"4 {three} {two}"
 
 
 def evidence(texts: list[str | None]) -> dict[str, list[int]]:
@@ -148,7 +147,7 @@ def length_limits(lengths: DataFrame, reach: int = 10, q: float = 0.001, least:
     return passed.filter((F.col("rank") <= F.col("last")) & (F.col("n") >= F.lit(excess) * F.col("usual") * F.col("at_risk"))).select("source", "unit", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), F.col("usual").alias("usual_hazard"))
 
 
-def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low: float = 0.1, low_at_limit: float = 0.3, punctuated: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low: float = 0.1, low_at_limit: float = 0.3, never: float = 0.02, punctuated: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(report, limits): report is (id_col, source, chars, words, at_limit, state, end_rate, cut), a row for each row of df.
 
     state is how the ending looks by itself (see ending()), end_rate the smoothed share of ends in its place where that
@@ -166,13 +165,17 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low:
 
     counts = chosen.filter("text is not null").select("text").mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     asked = states.filter("state = 'open'").select("row", F.posexplode("keys").alias("at", "key"))
-    met = asked.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(5) for c in ("n", "ends")))
-    smooth = F.lit(4.0)  # pseudo-counts of the next wider evidence; the ending that is asked for does not speak for itself
-    word = (F.col("ends0") - 1 + smooth * 0.5) / (F.col("n0") - 1 + smooth)
-    pair = (F.col("ends1") - 1 + smooth * word) / (F.col("n1") - 1 + smooth)
-    place = (F.col("ends2") - 1 + smooth * 0.5) / (F.col("n2") - 1 + smooth)
-    inside = F.col("n3") * 200 < F.col("n4")  # hardly ever a word, but the beginning of many
-    rate = F.when(inside, 0.0).otherwise(F.least(pair, place))
+    met = asked.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(6) for c in ("n", "ends")))
+    smooth = F.lit(4.0)  # pseudo-counts of the wider evidence; the ending that is asked for does not speak for itself
+
+    def share(k: int, wider: Column) -> Column:
+        return (F.col(f"ends{k}") - 1 + smooth * wider) / (F.col(f"n{k}") - 1 + smooth)
+
+    word, place = share(0, F.lit(0.5)), share(2, F.lit(0.1))
+    # A word that never ends a clause is no end; else one of its neighbourhoods must be one where clauses end.
+    around = F.greatest(share(1, F.least(word, place)), share(3, place))
+    inside = F.col("n4") * 200 < F.col("n5")  # hardly ever a word, but the beginning of many
+    rate = F.when(inside, 0.0).when(word < never, word).otherwise(around)
     rates = met.select("row", rate.alias("end_rate"))
 
     def at(unit: str) -> DataFrame:
