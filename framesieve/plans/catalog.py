@@ -166,12 +166,27 @@ def change_filter_fallback(spark, d):
     return select.with_fallback(kept, _frames(spark, d))
 
 
-@query()
+_SEED = """v AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+mid AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(e[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i) GROUP BY label),
+s0 AS (SELECT v.label, arg_max(vec_id, (list_dot_product(e, c), -vec_id)) AS vec_id FROM v JOIN mid USING (label) GROUP BY v.label)"""
+
+
+def _greedy(steps: int, stop: str) -> str:
+    return f"""WITH RECURSIVE {_SEED},
+g AS (SELECT label, 1 AS rank, [vec_id] AS taken, false AS stopped FROM s0
+  UNION ALL SELECT g.label, g.rank + 1, CASE WHEN n.stop THEN g.taken ELSE list_append(g.taken, n.vid) END, n.stop FROM g, LATERAL (
+    SELECT arg_max(vec_id, (md, -vec_id)) AS vid, {stop} AS stop FROM (SELECT a.vec_id, min(1 - list_dot_product(a.e, b.e)) AS md FROM v a JOIN v b ON a.label = b.label
+      WHERE a.label = g.label AND list_contains(g.taken, b.vec_id) AND NOT list_contains(g.taken, a.vec_id) GROUP BY a.vec_id)) n WHERE g.rank < {steps} AND NOT g.stopped AND n.vid IS NOT NULL),
+f AS (SELECT label, arg_max(taken, rank) AS taken, bool_or(stopped) AS stopped_early FROM g GROUP BY label)
+SELECT label, taken[k] AS vec_id, CAST(k AS INTEGER) AS rank, stopped_early FROM (SELECT label, taken, stopped_early, unnest(range(1, len(taken) + 1)) AS k FROM f)"""
+
+
+@query(_greedy(10, "false"))
 def diversity_fixed(spark, d):
     return select.diverse(_read(spark, d, "embeddings"), "label", "vec_id", "embedding", 10, 0.0, adaptive=False)
 
 
-@query()
+@query(_greedy(1000, "max(md) < 0.8"))
 def diversity_adaptive(spark, d):
     return select.diverse(_read(spark, d, "embeddings"), "label", "vec_id", "embedding", None, 0.8)
 
@@ -199,7 +214,13 @@ def caption_dedup(spark, d):
     return combine.without_repeats(_captions(spark, d), "video_id", "sen_id", "caption", 0.5).select("video_id", "sen_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_REFS}, {_SETS},
+c AS (SELECT video_id, rn, sen_id, caption, k AS last, true AS keep FROM t WHERE rn = 1
+  UNION ALL SELECT t.video_id, t.rn, t.sen_id, t.caption, CASE WHEN {_JACCARD.format("t.k", "c.last")} > 0.85 THEN c.last ELSE t.k END, NOT {_JACCARD.format("t.k", "c.last")} > 0.85
+  FROM c JOIN t ON t.video_id = c.video_id AND t.rn = c.rn + 1)
+SELECT video_id, count(*) AS n_captions, string_agg(caption, ' ' ORDER BY sen_id) AS caption FROM c WHERE keep GROUP BY video_id"""
+)
 def caption_temporal(spark, d):
     return combine.temporal(_captions(spark, d), "video_id", "sen_id", "caption")
 
@@ -281,6 +302,17 @@ def bleu(spark, d):
     return scores.select("id", *(F.round(f"bleu{n}", 6).alias(f"bleu{n}") for n in range(1, 5)))
 
 
+@query(
+    f"""WITH RECURSIVE {_REFS}, {_TEXTS}, q AS (SELECT hh.id, ref_no, hh.w AS h, rr.w AS r FROM hh JOIN rr USING (id)),
+l AS (SELECT id, ref_no, h, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda z: 0::BIGINT) AS t FROM q
+  UNION ALL SELECT id, ref_no, h, r, i + 1, list_reduce(range(1, len(r) + 1), lambda acc, j: list_append(acc, CASE WHEN r[j] = h[i + 1] THEN t[j] + 1 ELSE greatest(t[j + 1], acc[j]) END), [0::BIGINT]) FROM l WHERE i < len(h)),
+m AS (SELECT id, max(t[len(r) + 1] / len(h)::DOUBLE) AS p, max(t[len(r) + 1] / len(r)::DOUBLE) AS rc FROM l WHERE i = len(h) GROUP BY id)
+SELECT id, round(CASE WHEN p > 0 AND rc > 0 THEN 2.44 * p * rc / (rc + 1.44 * p) ELSE 0 END, 6) AS rouge_l FROM m"""
+)
+def rouge_l(spark, d):
+    return score.rouge_meteor(*_refs_and_hyps(spark, d)).select("id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
 @query()
 def rouge_meteor(spark, d):
     return score.rouge_meteor(*_refs_and_hyps(spark, d))
