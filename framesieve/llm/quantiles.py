@@ -19,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import number
 
 BITS = 24
-#: Digests that one task merges at a time.
-FAN_IN = 64
+#: Digests that one task merges at a time, and rows that may be broadcast.
+FAN_IN, SMALL = 64, 10_000
 
 
 def cells(values: np.ndarray) -> np.ndarray:
@@ -177,11 +178,13 @@ def percentiles(digest: DataFrame, keys: list[str], shares: list[float], rank_er
 
 
 def rank_check(df: DataFrame, answers: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Exact ranks of answers: (*keys, metric, p, n, within). One more pass; the answers are few, one a key and p."""
+    """Exact ranks of answers: (*keys, metric, p, n, within), by one more pass over df.
+
+    The answers, one row a key and metric, are written first and counted: up to SMALL of them are broadcast, more are joined."""
     long = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), number(m).alias("x")) for m in metrics))).alias("v")).select(*keys, "v.*").filter("x is not null")
-    asked = answers.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("p", "low", "value", "max_rank_error"))).alias("asked"))
+    asked = stored(answers.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("p", "low", "value", "max_rank_error"))).alias("asked")), "answers")
     same: Column = F.lit(True)
-    left, right = long.alias("l"), F.broadcast(asked).alias("r")
+    left, right = long.alias("l"), (F.broadcast(asked) if asked.count() <= SMALL else asked).alias("r")
     for c in [*keys, "metric"]:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     met = left.join(right, same).select(*(f"l.{c}" for c in [*keys, "metric"]), "x", F.explode("asked").alias("a"))
