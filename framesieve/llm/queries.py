@@ -98,7 +98,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.looping(p5_repetition(spark, d)).select("row_id")
 
 
-def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+def _scores(spark: SparkSession, d: str) -> DataFrame:
     # Ids of the two tables may be equal; doubled, and plus one, they differ.
     first = _read(spark, d, "sentences").select("video_id", (F.col("sen_id") * 2).alias("text_id"), F.col("caption").alias("text"))
     second = _read(spark, d, "baseline_results").select("video_id", (F.col("row_id") * 2 + 1).alias("text_id"), F.col("generated_caption").alias("text"))
@@ -107,8 +107,12 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.log_entropy(distinctive.term_frequencies(texts, "video_id", "text_id", "text"), n).withColumnRenamed("record", "video_id")
 
 
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).withColumns({"weight": F.round("weight", 6), "score": F.round("score", 6)})
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive.marking_terms(p6_scores(spark, d)).select("video_id", "term")
+    return distinctive.marking_terms(_scores(spark, d)).select("video_id", "term")
 
 
 def _truncation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

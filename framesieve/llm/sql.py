@@ -48,5 +48,6 @@ SQL = {
     "p4_records": f"{_RECORDS} SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
     "p5_found": f"{_REPEATS} SELECT row_id FROM w JOIN c USING (row_id) WHERE len(ws) >= 12 AND 10 * repeated >= 3 * len(ws)",
     "p6_found": f"{_SPREAD} SELECT video_id, term FROM j WHERE texts >= 4 AND records BETWEEN 2 AND 6",
+    "p6_scores": f"{_SPREAD} SELECT video_id, term, tf, texts, records, round(weight, 6) AS weight, round(ln(1 + tf) * weight, 6) AS score FROM j",
     "p9_found": _LEAKS,
 }
