@@ -76,7 +76,7 @@ def keys_at(words: list[str], k: int) -> tuple[str, str, str, str]:
 
 
 def evidence(texts: list[str | None]) -> dict[str, list[int]]:
-    """For each key how often it occurs, and how often a clause ends there.
+    """For each key how often it occurs, and how often a clause ends there. Texts are distinct: a copy would speak for its own ending.
 
     How words end and go on is counted in clauses of the style that is asked for only, those that begin small and are
     a single clause: in sentences the same words are followed by more. A last word without a full stop may be cut
@@ -114,6 +114,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["key", "n", "ends"])
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts as shown, with single spaces, so that copies are equal; blank ones are left out."""
+    for batch in batches:
+        spelled = (" ".join(shown(t).split()) for t in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([t for t in spelled if t], pa.string())], names=["text"])
+
+
 def _state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -163,7 +170,9 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low:
     closed, loose = told.agg(F.count_if(F.col("state") == "complete"), F.count_if(F.col("state") == "loose")).first()
     loose_is_cut = closed >= punctuated * (closed + loose)
 
-    counts = chosen.filter("text is not null").select("text").mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    # A text delivered again says nothing new: copies of a cut text would vouch for its ending.
+    once = chosen.filter("text is not null").select("text").mapInArrow(_spelled, "text string").distinct()
+    counts = once.mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     asked = states.filter("state = 'open'").select("row", F.posexplode("keys").alias("at", "key"))
     met = asked.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(6) for c in ("n", "ends")))
     smooth = F.lit(4.0)  # pseudo-counts of the wider evidence; the ending that is asked for does not speak for itself

@@ -281,6 +281,17 @@ def test_truncation(spark):
     assert report.count() == 0 and limits.count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 2, 50])
+def test_copies_do_not_vouch_for_a_cut(spark, copies):
+    rng = random.Random(70)
+    crowd = "crowd river tower garden child".split()
+    values = [f"a {rng.choice('drummer singer dancer'.split())} {k} sings to the {rng.choice(crowd)}" for k in range(150)]
+    values += ["a drummer sings to" + " " * (k % 3) for k in range(copies)] + ["a singer 3 sings to the crowd"] * 50
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(values)], "doc bigint, source string, body string").repartition(4)
+    report = {r.doc: r.cut for r in truncation.truncation(df, "doc", "body", "source")[0].collect()}
+    assert report == {k: t.rstrip() == "a drummer sings to" for k, t in enumerate(values)}
+
+
 # 8
 
 
