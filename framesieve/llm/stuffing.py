@@ -3,10 +3,13 @@
 A text is divided into segments by lines and sentence ends, and neighbouring segments of one kind, sentences or not,
 form a block. Links, hash tags, prices and numbers of a block are put as one sign each, and the deflate ratio of what is
 left is divided by the mean ratio of blocks of sentences of the same length and language in the whole collection. A block
-is stuffed if it has hardly any sentence punctuation (it is no block of sentences) and its normalised ratio is low.
+is stuffed if it is no block of sentences and its normalised ratio is low, or if it looks like sentences, has hardly any
+function words, and its ratio is extremely low.
 
 Compression alone can't decide: lists of products hardly repeat a word, while loops of whole sentences compress
-best of all. The sentence density therefore decides before the ratio does, and the signs make lists redundant.
+best of all. The sentence density therefore decides before the ratio does, and the signs make lists redundant. A sign at
+the end makes no sentence of a list: the words for each comma, bar, link, tag and price count, how long the segment
+goes on without a sign, and the share of function words.
 """
 
 from __future__ import annotations
@@ -34,6 +37,25 @@ SEGMENT = re.compile(rf"[^\n\r]*?{SENTENCE_END}(?=\s|$)\s*|[^\n\r]*?[。！？]|
 END = re.compile(rf"{SENTENCE_END}\s*$")
 #: Letters of scripts that put no space between words.
 WIDE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
+#: What parts the items of a list; between letters of WIDE scripts a space does, too.
+PART = re.compile(r"[,;|•·、，；｜،؛]")
+WIDE_PART = re.compile(rf"{WIDE.pattern}\s+(?={WIDE.pattern})")
+#: Letters of the scripts whose function words are known.
+JUDGED = re.compile(r"[a-zß-ɏа-ё]")
+#: Words that hold sentences together, of languages in Latin and Cyrillic letters.
+FUNCTION = frozenset(
+    """a an the this that these those and or but if of to in on at by for from with as is are was were be been has have had do does did not it its he she they we you i
+    his her their our your my which who what when where while until before after then than there so into over under near about one another it's
+    der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war im in am an auf aus bei mit nach von vor zu zum zur er sie es ich wir ihr sich wie als dass auch
+    le la les l un une des du de d et ou mais ne pas est sont était dans sur sous avec pour par en au aux il elle ils elles on nous vous je que qui se ce cette son sa ses
+    el los las una unos del y o pero no es son era al con por para sobre lo su sus yo él ella que se como más
+    il gli e ed di da per non è sono nel della che si um uma os as do da dos das na nos em não é com het een van voor niet zijn w z na nie się i jest to że ve bir bu
+    и в во на с со к у о об от до из за по под не что это как а но он она они мы вы я его её их был была быть для при""".split()
+)
+#: Segments of more words than these are sentences only if function words hold them together.
+LONG_SENTENCE = 60
+#: Thin blocks of sentences are stuffed below this normalised ratio.
+EXTREME = 0.5
 
 
 def without_links(text: str, sign: str) -> str:
@@ -41,12 +63,47 @@ def without_links(text: str, sign: str) -> str:
     return LINK.sub(sign, text) if "/" in text or "](" in text or "www." in text.lower() else text
 
 
+def function_share(words: list[str]) -> float:
+    return sum(w in FUNCTION for w in words) / max(1, len(words))
+
+
+def has_known_letters(words: list[str]) -> bool:
+    """Whether nearly all letters are of scripts whose function words are known."""
+    return len(JUDGED.findall(letters := "".join(w for w in words if not w.isdecimal()))) >= 0.9 * len(letters)
+
+
 def is_sentence(segment: str) -> bool:
-    """Ends with sentence punctuation and has, beside links, at least five words (or eight letters of a script without spaces)."""
+    """Ends with sentence punctuation, has, beside links, tags and prices, at least five words (or eight letters of a script
+    without spaces), and is no list: under five of them an item or very many in all, and hardly a function word among them.
+
+    One word said over and over is a loop, not a list."""
     if not END.search(segment):
         return False
-    rest = without_links(segment, " ")
-    return len(WORD.findall(rest)) >= 5 or (not rest.isascii() and len(WIDE.findall(rest)) >= 8)
+    rest = without_links(segment, " \x01 ")
+    if "#" in rest:
+        rest = TAG.sub(" \x01 ", rest)
+    rest, prices = PRICE.subn(" \x01 ", rest)
+    words = WORD.findall(rest)
+    wide = 0 if rest.isascii() else len(WIDE.findall(rest))
+    if len(words) < 5 and wide < 8:
+        return False
+    parts = len(PART.findall(rest)) + rest.count("\x01")
+    if wide >= 8 and 2 * wide > sum(map(len, words)):
+        parts += len(WIDE_PART.findall(rest))
+        return parts < 4 or wide >= 5 * (parts + 1)
+    dense = (parts >= 4 or prices) and len(words) < 5 * (parts + 1)
+    if not dense and len(words) <= LONG_SENTENCE:
+        return True
+    words = [w.lower() for w in words]
+    if not has_known_letters(words):
+        return not dense
+    return parts <= len(words) and function_share(words) >= 0.2 or len(set(words)) == 1
+
+
+def is_thin(block: str) -> bool:
+    """Different words with hardly a function word among them, whatever their punctuation."""
+    words = WORD.findall(without_links(block.lower(), " "))
+    return len(set(words)) > 1 and function_share(words) < 0.1 and has_known_letters(words)
 
 
 def deflated(raw: bytes) -> int:
@@ -54,8 +111,8 @@ def deflated(raw: bytes) -> int:
     return len(squeeze.compress(raw)) + len(squeeze.flush())
 
 
-def blocks(text: str) -> list[tuple[bool, int, int, int]]:
-    """(of sentences, characters, bytes, deflated bytes of the signs) of each block; characters of blobs, and of blocks
+def blocks(text: str) -> list[tuple[bool, bool, int, int, int]]:
+    """(of sentences, of thin ones that compress well, characters, bytes, deflated bytes of the signs) of each block; characters of blobs, and of blocks
     that are mostly neither letters nor links (tables of numbers, code), do not count."""
     out = []
     for sentences, group in itertools.groupby(SEGMENT.findall(text), key=is_sentence):
@@ -68,32 +125,36 @@ def blocks(text: str) -> list[tuple[bool, int, int, int]]:
             letters = len(block) - len(plain) + sum(map(str.isalpha, signs))  # links and tags count as letters
             if letters < 0.4 * len(block):
                 chars = 0
-        out.append((sentences, chars, max(1, len(block.encode("utf-8", "surrogatepass"))), deflated(NUMBER.sub("0", PRICE.sub("\x03", signs)).encode("utf-8", "surrogatepass"))))
+        size = max(1, len(block.encode("utf-8", "surrogatepass")))
+        squeezed = deflated(NUMBER.sub("0", PRICE.sub("\x03", signs)).encode("utf-8", "surrogatepass"))
+        out.append((sentences, sentences and squeezed < EXTREME * size and is_thin(block), chars, size, squeezed))
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [blocks(t) for t in batch.column(2).to_pylist()]
-        kind = pa.list_(pa.struct([("sentences", pa.bool_()), ("chars", pa.int64()), ("bytes", pa.int64()), ("deflated", pa.int64())]))
-        listed = pa.array([[{"sentences": s, "chars": c, "bytes": b, "deflated": z} for s, c, b, z in f] for f in found], kind)
+        kind = pa.list_(pa.struct([("sentences", pa.bool_()), ("thin", pa.bool_()), ("chars", pa.int64()), ("bytes", pa.int64()), ("deflated", pa.int64())]))
+        listed = pa.array([[{"sentences": s, "thin": n, "chars": c, "bytes": b, "deflated": z} for s, n, c, b, z in f] for f in found], kind)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in batch.column(2).to_pylist()], pa.int64()), listed], names=["id", "lang", "size", "blocks"])
 
 
 def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low: float = 0.85, min_blocks: int = 20, max_langs: int = 1000) -> DataFrame:
     """(id_col, n_chars, stuffed_chars, stuffed_share, least_ratio) for each row with a text, equal rows included.
 
-    least_ratio is the least normalised ratio of a block that is not of sentences, null without such a block. Null texts
+    least_ratio is the least normalised ratio of a block that is not of sentences, or of thin ones, null without such a block. Null texts
     take no part; empty texts have zeros. A language with fewer than min_blocks blocks of a length, a null one, or one that is not
-    among the max_langs most frequent, is measured against all languages together. Whole texts are read; other columns
+    among the max_langs most frequent, is measured against all languages together, a length with fewer
+    in all languages against the nearest that has them. Whole texts are read; other columns
     of df are ignored."""
     chosen = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     kind = chosen.schema["id"].dataType.simpleString()
-    features = stored(chosen.mapInArrow(_features, f"id {kind}, lang string, size bigint, blocks array<struct<sentences: boolean, chars: bigint, bytes: bigint, deflated: bigint>>"), "blocks")
-    each = features.select("lang", F.explode("blocks").alias("b")).filter("b.sentences")
+    features = stored(chosen.mapInArrow(_features, f"id {kind}, lang string, size bigint, blocks array<struct<sentences: boolean, thin: boolean, chars: bigint, bytes: bigint, deflated: bigint>>"), "blocks")
+    each = features.select("lang", F.explode("blocks").alias("b")).filter("b.sentences and not b.thin")
     band, ratio = F.ceil(F.log2(F.col("b.bytes") + 1)).cast("int"), F.col("b.deflated") / F.col("b.bytes")
     totals = each.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"), F.sum(ratio).alias("total"))
-    everywhere = {r.band: r.m for r in totals.groupBy("band").agg((F.sum("total") / F.sum("n")).alias("m")).collect()}  # a row a doubling of length
+    bands = totals.groupBy("band").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("m")).collect()  # a row a doubling of length
+    everywhere = {r.band: r.m for r in bands if r.n >= min_blocks} or {r.band: r.m for r in bands}
     frequent = totals.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(max_langs)
     own = {(r.lang, r.band): r.total / r.n for r in totals.filter(F.col("n") >= min_blocks).join(frequent, "lang").collect()}  # at most max_langs languages
 
@@ -104,13 +165,13 @@ def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low:
             for lang, size, listed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 stuffed, least = 0, None
                 for b in listed:
-                    if b["sentences"]:
+                    if b["sentences"] and not b["thin"]:
                         continue
                     band = b["bytes"].bit_length()
                     usual = own.get((lang, band)) or (everywhere[min(nearest, key=lambda x: abs(x - band))] if nearest else 0.6)
                     ratio = b["deflated"] / b["bytes"] / usual
                     least = ratio if least is None else min(least, ratio)
-                    stuffed += b["chars"] if ratio < low else 0
+                    stuffed += b["chars"] if ratio < (EXTREME if b["thin"] else low) else 0
                 rows.append((size, stuffed, stuffed / max(1, size), least))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=[id_col, "n_chars", "stuffed_chars", "stuffed_share", "least_ratio"])

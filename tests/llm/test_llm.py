@@ -364,6 +364,20 @@ def test_stuffing(spark):
     assert stuffing.block_report(df.filter("doc < 0"), "doc", "body", "lang").count() == 0
 
 
+def test_stuffing_with_full_stops(spark):
+    rng = random.Random(11)
+    nouns, places = "cat dog bird horse mouse lamp tower river".split(), "kitchen garden market station".split()
+    prose = [" ".join(f"The {rng.choice(nouns)} near the {rng.choice(places)} holds a small {rng.choice(nouns)} {rng.choice(['twice', 'slowly', 'at noon'])}." for _ in range(rng.randint(2, 12))) for _ in range(200)]
+    prose += ["The tiny red balloon costs $35.80 with free shipping. " + prose[0], "They bought eggs, milk, bread, salt, rice and a small lamp. " * 30, "We walked through the old market at noon #travel.", "Someone in the kitchen holds the lamp. " * 40]
+    phrases = ["buy cat", "cat food", "cheap cat", "cat online", "best cat food"]
+    stuffed = [s.join(rng.choice(phrases) for _ in range(1500)) + "." for s in (", ", " | ", " ")]
+    stuffed += ["\n".join("#" + " #".join(rng.sample(nouns, 5)) + "." for _ in range(30)), "\n".join(f"{rng.choice(['red', 'blue'])} tiny {rng.choice(nouns)} ${rng.randint(1, 99)}.80 free shipping." for _ in range(30))]
+    stuffed += [" ".join(f"Buy cheap {rng.choice(nouns)} food online." for _ in range(60)), "、".join(rng.choice(["猫粮", "便宜猫粮", "狗粮"]) for _ in range(200)) + "。", " ".join(f"https://a{k}.test/x-{k}" for k in range(30)) + " read all our best deals."]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(prose + stuffed)], "doc bigint, body string, lang string").repartition(3)
+    found = [r[0] for r in rows(stuffing.stuffed_pages(stuffing.block_report(df, "doc", "body", "lang")), "doc")]
+    assert found == list(range(len(prose), len(prose + stuffed)))
+
+
 def test_registered_queries(spark, data):
     """Queries with SQL agree with it on the smallest test data; the others run."""
     import duckdb
