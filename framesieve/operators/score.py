@@ -1,6 +1,7 @@
 """Scores of captions against reference captions: corpus IDF, CIDEr, BLEU, ROUGE-L and an exact-word METEOR.
 
-Tables: references (id, ref_no, caption), hypotheses (id, caption). Everything but the longest common subsequence is
+Tables: references (id, ref_no, caption), hypotheses (id, caption), or (id, of, caption) if several share the references of one
+id: `of` is that id then, and scores are given by the hypothesis's own id. References are never copied for it. Everything but the longest common subsequence is
 joins and aggregations over n-grams."""
 
 from __future__ import annotations
@@ -22,8 +23,15 @@ TINY, SMALL = 1e-15, 1e-9
 def cleaned(references: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References without null and blank ones, and hypotheses that have a reference; a missing hypothesis gets its placeholder."""
     refs = references.select("id", "ref_no", squeeze("caption").alias("caption")).filter("caption <> '' and id is not null")
-    hyps = hypotheses.select("id", or_placeholder("caption", NO_CAPTION).alias("caption")).join(refs.select("id").distinct(), "id", "left_semi")
-    return refs, hyps
+    of = "of" if "of" in hypotheses.columns else "id"
+    hyps = hypotheses.select(*dict.fromkeys(["id", of]), or_placeholder("caption", NO_CAPTION).alias("caption"))
+    return refs, hyps.join(refs.select(F.col("id").alias(of)).distinct(), of, "left_semi")
+
+
+def _paired(references: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cleaned() as references (of, ref_no, caption) and hypotheses (id, of, caption)."""
+    refs, hyps = cleaned(references, hypotheses)
+    return refs.withColumnRenamed("id", "of"), hyps.select("id", F.col("of" if "of" in hyps.columns else "id").alias("of"), "caption")
 
 
 def document_frequency(corpus: DataFrame, id_col: str = "id", text_col: str = "caption", most: int = ORDERS) -> DataFrame:
@@ -47,9 +55,9 @@ def cider(references: DataFrame, hypotheses: DataFrame, idf: DataFrame, normalis
 
     The length of a text is its number of bigrams. An n-gram the corpus lacks weighs 0. Unless normalise, texts are taken as
     they are although the corpus is lower-cased. Ids without reference are left out."""
-    refs, hyps = cleaned(references, hypotheses)
-    h, r = _grams(hyps, ["id"], normalise), _grams(refs, ["id", "ref_no"], normalise)
-    r = r.join(hyps.select("id"), "id", "left_semi")
+    refs, hyps = _paired(references, hypotheses)
+    h, r = _grams(hyps, ["id", "of"], normalise), _grams(refs, ["of", "ref_no"], normalise)
+    r = r.join(hyps.select("of").distinct(), "of", "left_semi")
     needed = idf.join(h.select("n", "gram").unionAll(r.select("n", "gram")).distinct(), ["n", "gram"], "left_semi").select("n", "gram", "idf")
 
     def weighted(grams: DataFrame) -> DataFrame:
@@ -57,31 +65,31 @@ def cider(references: DataFrame, hypotheses: DataFrame, idf: DataFrame, normalis
 
     hw, rw = weighted(h), weighted(r)
     hn = hw.groupBy("id", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.first("words").alias("h_words"))
-    rn = rw.groupBy("id", "ref_no", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("r_norm"), F.first("words").alias("r_words"))
-    met = hw.select("id", "n", "gram", F.col("w").alias("hw")).join(rw.select("id", "ref_no", "n", "gram", F.col("w").alias("rw")), ["id", "n", "gram"])
-    shared = met.groupBy("id", "ref_no", "n").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("shared"))
+    rn = rw.groupBy("of", "ref_no", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("r_norm"), F.first("words").alias("r_words"))
+    met = hw.select("id", "of", "n", "gram", F.col("w").alias("hw")).join(rw.select("of", "ref_no", "n", "gram", F.col("w").alias("rw")), ["of", "n", "gram"])
+    shared = met.groupBy("id", "of", "ref_no", "n").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("shared"))
 
     def bigrams(words: str) -> Column:
         return F.greatest(F.col(words) - 1, F.lit(0))
 
-    both = shared.join(hn, ["id", "n"]).join(rn, ["id", "ref_no", "n"]).filter("h_norm > 0 and r_norm > 0")
+    both = shared.join(hn, ["id", "n"]).join(rn, ["of", "ref_no", "n"]).filter("h_norm > 0 and r_norm > 0")
     apart = bigrams("h_words") - bigrams("r_words")
     sim = F.col("shared") / (F.col("h_norm") * F.col("r_norm")) * F.exp(-(apart * apart) / (2 * SIGMA * SIGMA))
     total = both.groupBy("id").agg(F.sum(sim).alias("total"))
-    n_refs = refs.groupBy("id").agg(F.count("*").alias("n_refs"))
-    return hyps.select("id").join(n_refs, "id").join(total, "id", "left").select("id", F.coalesce(F.col("total") / ORDERS / F.col("n_refs") * 10, F.lit(0.0)).alias("cider"))
+    n_refs = refs.groupBy("of").agg(F.count("*").alias("n_refs"))
+    return hyps.select("id", "of").join(n_refs, "of").join(total, "id", "left").select("id", F.coalesce(F.col("total") / ORDERS / F.col("n_refs") * 10, F.lit(0.0)).alias("cider"))
 
 
 def bleu(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """(id, bleu1, bleu2, bleu3, bleu4) of single texts: clipped precision with tiny constants against zero, and the brevity penalty
     for the closest reference length, the shorter one on ties."""
-    refs, hyps = cleaned(references, hypotheses)
-    h, r = _grams(hyps, ["id"], False), _grams(refs, ["id", "ref_no"], False)
-    clip = r.groupBy("id", "n", "gram").agg(F.max("tf").alias("most"))
-    right = h.join(clip, ["id", "n", "gram"]).groupBy("id", "n").agg(F.sum(F.least("tf", "most")).alias("c"))
+    refs, hyps = _paired(references, hypotheses)
+    h, r = _grams(hyps, ["id", "of"], False), _grams(refs, ["of", "ref_no"], False)
+    clip = r.groupBy("of", "n", "gram").agg(F.max("tf").alias("most"))
+    right = h.join(clip, ["of", "n", "gram"]).groupBy("id", "n").agg(F.sum(F.least("tf", "most")).alias("c"))
     wide = right.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("c"))), F.lit(0)).alias(f"c{n}") for n in range(1, ORDERS + 1)))
-    words = hyps.select("id", F.size(corpus_tokens("caption", False)).alias("t"))
-    lengths = refs.select("id", F.size(corpus_tokens("caption", False)).alias("l")).join(words, "id")
+    words = hyps.select("id", "of", F.size(corpus_tokens("caption", False)).alias("t"))
+    lengths = refs.select("of", F.size(corpus_tokens("caption", False)).alias("l")).join(words, "of")
     closest = lengths.groupBy("id").agg(F.min(F.struct(F.abs(F.col("l") - F.col("t")), F.col("l"))).alias("best")).select("id", F.col("best.l").alias("l"))
     base = words.join(closest, "id").join(wide, "id", "left").fillna(0, [f"c{n}" for n in range(1, ORDERS + 1)])
     ratio = (F.col("t") + TINY) / (F.col("l") + SMALL)
@@ -135,8 +143,8 @@ def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rouge_meteor(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """(id, rouge_l, meteor): ROUGE-L from the best precision and the best recall over references, and an approximation of METEOR
     by exact words only (no stems, synonyms or paraphrases), the best over references."""
-    refs, hyps = cleaned(references, hypotheses)
-    pairs = hyps.select("id", corpus_tokens("caption", False).alias("h")).join(refs.select("id", corpus_tokens("caption", False).alias("r")), "id")
+    refs, hyps = _paired(references, hypotheses)
+    pairs = hyps.select("id", "of", corpus_tokens("caption", False).alias("h")).join(refs.select("of", corpus_tokens("caption", False).alias("r")), "of")
     kind = pairs.schema["id"].dataType.simpleString()
     scored = pairs.select("id", "h", "r").mapInArrow(_pair_scores, f"id {kind}, precision double, recall double, meteor double")
     best = scored.groupBy("id").agg(F.max("precision").alias("p"), F.max("recall").alias("r"), F.max("meteor").alias("meteor"))

@@ -1,7 +1,8 @@
 """The registered queries of the core over whole tables, each beside its SQL.
 
-videos serve as frame streams of total_frames frames, sentences as reference captions (each sen_id once), the last
-caption of a video in baseline_results as its prediction, embeddings as hash inputs and vectors of ten streams."""
+videos serve as frame streams of total_frames frames, sentences as reference captions (each sen_id once), every row of
+baseline_results with a video as a prediction for it (the queries with an SQL of scores take the last caption of a video only,
+as their SQL does; each has a query of its name and _each beside it that takes all), embeddings as hash inputs and vectors of ten streams."""
 
 from __future__ import annotations
 
@@ -64,6 +65,13 @@ def _refs_and_hyps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return refs, told.groupBy(F.col("video_id").alias("id")).agg(F.max_by("generated_caption", "row_id").alias("caption"))
 
 
+def _refs_and_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References, and every row of baseline_results with a video as a hypothesis of its own; blank captions get their placeholder."""
+    refs = _references(spark, d).select(F.col("video_id").alias("id"), F.col("sen_id").alias("ref_no"), "caption")
+    told = _read(spark, d, "baseline_results").filter("video_id is not null")
+    return refs, told.select(F.col("row_id").alias("id"), F.col("video_id").alias("of"), F.col("generated_caption").alias("caption"))
+
+
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """results with each row_id once: deliveries of a row are equal, so any of their columns' minima is the row."""
     rows = _read(spark, d, "results").filter("row_id is not null")
@@ -315,15 +323,31 @@ def rouge_l(spark, d):
 
 @query()
 def rouge_meteor(spark, d):
-    return score.rouge_meteor(*_refs_and_hyps(spark, d))
+    return score.rouge_meteor(*_refs_and_rows(spark, d))
 
 
 @query()
 def all_metrics(spark, d):
-    refs, hyps = _refs_and_hyps(spark, d)
+    refs, hyps = _refs_and_rows(spark, d)
     return score.all_metrics(refs, hyps, score.document_frequency(_captions(spark, d), "video_id"))
 
 
+@query()
+def cider_each(spark, d):
+    refs, hyps = _refs_and_rows(spark, d)
+    return score.cider(refs, hyps, score.document_frequency(_captions(spark, d), "video_id"))
+
+
+@query()
+def bleu_each(spark, d):
+    return score.bleu(*_refs_and_rows(spark, d))
+
+
+@query()
+def rouge_l_each(spark, d):
+    return score.rouge_meteor(*_refs_and_rows(spark, d)).select("id", "rouge_l")
+
+
 @query(f"WITH {_REFS}, g AS (SELECT video_id, count(*) AS n FROM r WHERE video_id IS NOT NULL GROUP BY video_id) SELECT count(*) AS n_videos, sum(n)::BIGINT AS n_references, round(avg(n), 6) AS mean_references, count(*) FILTER (WHERE n < 2) AS n_sparse FROM g")
 def reference_coverage(spark, d):
     refs, _ = _refs_and_hyps(spark, d)
@@ -335,6 +359,11 @@ def input_diagnostics(spark, d):
     return score.input_diagnostics(*_refs_and_hyps(spark, d))
 
 
+@query()
+def input_diagnostics_each(spark, d):
+    return score.input_diagnostics(*_refs_and_rows(spark, d))
+
+
 # --- joins and experiment rows
 
 
@@ -343,6 +372,11 @@ def refs_semi_join(spark, d):
     return score.cleaned(*_refs_and_hyps(spark, d))[1]
 
 
+@query()
+def refs_semi_join_each(spark, d):
+    return score.cleaned(*_refs_and_rows(spark, d))[1]
+
+
 @query("SELECT video_id FROM videos WHERE video_id NOT IN (SELECT video_id FROM baseline_results WHERE video_id IS NOT NULL)")
 def pending_anti_join(spark, d):
     done = _read(spark, d, "baseline_results").select("video_id").distinct()

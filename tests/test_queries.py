@@ -36,6 +36,23 @@ def test_query(spark, data, con, name):
         assert got
 
 
+@pytest.mark.parametrize("name", ["cider_each", "bleu_each", "rouge_l_each", "rouge_meteor", "all_metrics", "refs_semi_join_each"])
+def test_every_row_is_scored(spark, data, con, name):
+    rows = con.sql("SELECT row_id FROM baseline_results WHERE video_id IN (SELECT min(video_id) FROM sentences WHERE sen_id IS NOT NULL GROUP BY sen_id HAVING trim(min(caption)) <> '')").fetchall()
+    assert sorted(r.id for r in catalog.QUERIES[name](spark, data).collect()) == sorted(r for (r,) in rows)
+
+
+@pytest.mark.parametrize("name", ["cider", "bleu", "rouge_l"])
+def test_rows_score_as_their_captions(spark, data, con, name):
+    """A video's last row has the score that the SQL gives the video."""
+    own = {r.id: r for r in catalog.QUERIES[f"{name}_each"](spark, data).collect()}
+    last = dict(con.sql("SELECT video_id, max(row_id) FROM baseline_results WHERE video_id IS NOT NULL AND trim(generated_caption) <> '' GROUP BY video_id").fetchall())
+    table = con.sql(catalog.SQL[name])
+    for video, *scores in table.fetchall():
+        for c, x in zip(table.columns[1:], scores, strict=True):
+            assert abs(own[last[video]][c] - x) < 2e-6
+
+
 def test_streamed_changes(spark, tmp_path):
     """Two batches of a stream keep what one table keeps."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
