@@ -5,8 +5,8 @@ window functions it is compared with the hazards of neighbouring lengths; length
 variable of the neighbours' rate, at a false-discovery rate of q within a source, are its limits, in characters or words.
 
 Endings: a text is complete if it ends with sentence punctuation, and cut if it ends with a sign of a cut, with
-an open bracket or comma, or without punctuation although its own style has it. What is left, clauses without a full
-stop, is judged by how words end and go on in all such clauses: the last word, the last pair, the two words before the
+an open bracket or comma, or without punctuation although its own style, that of its source, has it. What is left, clauses
+without a full stop, is judged by how words end and go on in all such clauses: the last word, the last pair, the two words before the
 last, and the two before those. A last word hardly seen elsewhere that begins many others was cut inside. At a limit length weaker
 evidence is enough.
 """
@@ -62,7 +62,11 @@ def ending(text: str | None) -> str:
 
 def clause(text: str) -> bool:
     """A single clause that begins small."""
-    return not INNER_END.search(text) and not next(x for x in text if x.isalnum()).isupper()
+    return not INNER_END.search(text) and not begins_large(text)
+
+
+def begins_large(text: str) -> bool:
+    return next(x for x in text if x.isalnum()).isupper()
 
 
 def tokens(text: str) -> list[str]:
@@ -78,8 +82,8 @@ def keys_at(words: list[str], k: int) -> tuple[str, str, str, str]:
 def evidence(texts: list[str | None]) -> dict[str, list[int]]:
     """For each key how often it occurs, and how often a clause ends there. Texts are distinct: a copy would speak for its own ending.
 
-    How words end and go on is counted in clauses of the style that is asked for only, those that begin small and are
-    a single clause: in sentences the same words are followed by more. A last word without a full stop may be cut
+    How words end and go on is counted in single clauses, apart for those that begin small and those that begin large (keys
+    of L): in sentences the same words are followed by more. A last word without a full stop may be cut
     itself; it counts as an end, but not as a word that was seen (key s). Prefixes (key p) count the words seen."""
     seen: dict[str, list[int]] = {}
     pieces: Counter[str] = Counter()
@@ -88,7 +92,8 @@ def evidence(texts: list[str | None]) -> dict[str, list[int]]:
         if state == "blank":
             continue
         words = tokens(text := shown(text))
-        own_style = clause(text) and state in ("open", "complete")
+        own_style = state in ("open", "loose", "complete") and not INNER_END.search(text)
+        style = "L" if begins_large(text) else ""
         for k, word in enumerate(words):
             if not word[0].isalnum():
                 continue
@@ -98,7 +103,7 @@ def evidence(texts: list[str | None]) -> dict[str, list[int]]:
             if own_style:
                 final = unsure or k == len(words) - 1 or words[k + 1] in ENDS
                 for key in keys_at(words, k):
-                    entry = seen.setdefault(key, [0, 0])
+                    entry = seen.setdefault(style + key, [0, 0])
                     entry[0] += 1
                     entry[1] += final
     for word, n in pieces.items():
@@ -126,11 +131,12 @@ def _state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column(2).to_pylist():
             state = ending(text)
-            words = tokens(shown(text)) if state == "open" else []
-            keys = [*keys_at(words, len(words) - 1), f"s {words[-1]}", f"p {words[-1]}"] if words else None
-            rows.append((state, len(text or ""), len((text or "").split()), keys))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True))], names=["id", "source", "state", "chars", "words", "keys"])
+            words = tokens(shown(text)) if state in ("open", "loose") else []
+            style = "L" if state == "loose" else ""
+            keys = [*(style + key for key in keys_at(words, len(words) - 1)), f"s {words[-1]}", f"p {words[-1]}"] if words else None
+            rows.append((state, len(text or ""), len((text or "").split()), keys, state == "complete" and begins_large(text)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()), strict=True))], names=["id", "source", "state", "chars", "words", "keys", "closed"])
 
 
 def length_limits(lengths: DataFrame, reach: int = 10, q: float = 0.001, least: int = 20, excess: float = 5.0) -> DataFrame:
@@ -154,26 +160,40 @@ def length_limits(lengths: DataFrame, reach: int = 10, q: float = 0.001, least:
     return passed.filter((F.col("rank") <= F.col("last")) & (F.col("n") >= F.lit(excess) * F.col("usual") * F.col("at_risk"))).select("source", "unit", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), F.col("usual").alias("usual_hazard"))
 
 
-def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low: float = 0.1, low_at_limit: float = 0.3, never: float = 0.02, punctuated: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low: float = 0.1, low_at_limit: float = 0.3, never: float = 0.02, punctuated: float = 0.6, few: int = 20) -> tuple[DataFrame, DataFrame]:
     """(report, limits): report is (id_col, source, chars, words, at_limit, state, end_rate, cut), a row for each row of df.
 
     state is how the ending looks by itself (see ending()), end_rate the smoothed share of ends in its place where that
     was needed. Null, empty and blank texts are never cut. A text of the length of a limit is cut only if its ending is
-    not complete. A null source is a source of its own. Other columns of df are ignored."""
+    not complete. A capitalised clause without a full stop is cut if its source closes `punctuated` of its capitalised texts
+    (with `few` texts of the collection's share added); in other sources its words decide. A null source is a source of its own. Other columns of df are ignored."""
     chosen = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    states = stored(chosen.mapInArrow(_state, f"id {kind}, source string, state string, chars bigint, words bigint, keys array<string>").withColumn("row", F.monotonically_increasing_id()), "endings")
+    states = stored(chosen.mapInArrow(_state, f"id {kind}, source string, state string, chars bigint, words bigint, keys array<string>, closed boolean").withColumn("row", F.monotonically_increasing_id()), "endings")
     told = states.filter("state <> 'blank'")
     limits = length_limits(told.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("words").alias("unit"), F.col("words").alias("length")))).alias("l")).select("source", "l.*"))
 
-    # Capital letters at the start: does this collection close such texts?
-    closed, loose = told.agg(F.count_if(F.col("state") == "complete"), F.count_if(F.col("state") == "loose")).first()
-    loose_is_cut = closed >= punctuated * (closed + loose)
+    def at(unit: str) -> DataFrame:
+        return limits.filter(F.col("unit") == unit).select(F.col("source").alias(f"{unit}_source"), F.col("length").alias(f"{unit}_length"))
+
+    placed = states
+    for unit in ("chars", "words"):
+        placed = placed.join(at(unit), F.col("source").eqNullSafe(F.col(f"{unit}_source")) & (F.col(unit) == F.col(f"{unit}_length")), "left")
+    at_limit = F.col("chars_length").isNotNull() | F.col("words_length").isNotNull()
+    placed = placed.withColumn("at_limit", at_limit)
+
+    # Capital letters at the start: does this source close such texts? Those at its limits tell less of its style, since they may
+    # be cut there, and count a tenth. A source with few of them is taken to be as the collection is.
+    weight = F.when(F.col("at_limit"), 0.1).otherwise(1.0)
+    style = placed.filter("closed or state = 'loose'").groupBy(F.col("source").alias("style_source")).agg(F.sum(F.when(F.col("closed"), weight).otherwise(0.0)).alias("closed"), F.sum(weight).alias("large"))
+    total = style.agg((F.sum("closed") / F.sum("large")).alias("usual"))  # one row
+    closes = style.join(F.broadcast(total)).select("style_source", ((F.col("closed") + few * F.col("usual")) / (F.col("large") + few) >= punctuated).alias("closes"))
+    usual = total.select((F.coalesce("usual", F.lit(1.0)) >= punctuated).alias("usually_closes"))
 
     # A text delivered again says nothing new: copies of a cut text would vouch for its ending.
     once = chosen.filter("text is not null").select("text").mapInArrow(_spelled, "text string").distinct()
     counts = once.mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    asked = states.filter("state = 'open'").select("row", F.posexplode("keys").alias("at", "key"))
+    asked = states.filter("state in ('open', 'loose')").select("row", F.posexplode("keys").alias("at", "key"))
     met = asked.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(6) for c in ("n", "ends")))
     smooth = F.lit(4.0)  # pseudo-counts of the wider evidence; the ending that is asked for does not speak for itself
 
@@ -187,15 +207,11 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low:
     rate = F.when(inside, 0.0).when(word < never, word).otherwise(around)
     rates = met.select("row", rate.alias("end_rate"))
 
-    def at(unit: str) -> DataFrame:
-        return limits.filter(F.col("unit") == unit).select(F.col("source").alias(f"{unit}_source"), F.col("length").alias(f"{unit}_length"))
-
-    joined = states.join(rates, "row", "left")
-    for unit in ("chars", "words"):
-        joined = joined.join(at(unit), F.col("source").eqNullSafe(F.col(f"{unit}_source")) & (F.col(unit) == F.col(f"{unit}_length")), "left")
-    at_limit = F.col("chars_length").isNotNull() | F.col("words_length").isNotNull()
-    cut = (F.col("state") == "cut") | ((F.col("state") == "loose") & (F.lit(loose_is_cut) | at_limit)) | ((F.col("state") == "open") & (F.col("end_rate") < F.when(at_limit, low_at_limit).otherwise(low)))
-    report = joined.select(F.col("id").alias(id_col), "source", "chars", "words", at_limit.alias("at_limit"), "state", "end_rate", F.coalesce(cut, F.lit(False)).alias("cut"))
+    joined = placed.join(rates, "row", "left").join(closes, F.col("source").eqNullSafe(F.col("style_source")), "left").join(F.broadcast(usual))  # one row
+    by_style = (F.col("state") == "loose") & F.coalesce("closes", "usually_closes")
+    by_words = F.col("state").isin("open", "loose") & (F.col("end_rate") < F.when(F.col("at_limit"), low_at_limit).otherwise(low))
+    cut = (F.col("state") == "cut") | by_style | by_words
+    report = joined.select(F.col("id").alias(id_col), "source", "chars", "words", "at_limit", "state", "end_rate", F.coalesce(cut, F.lit(False)).alias("cut"))
     return report, limits
 
 

@@ -292,6 +292,23 @@ def test_copies_do_not_vouch_for_a_cut(spark, copies):
     assert report == {k: t.rstrip() == "a drummer sings to" for k, t in enumerate(values)}
 
 
+def test_sources_that_leave_out_full_stops(spark):
+    """Of two kinds of sources, one closes its sentences, the other, with more than a third of the rows, none."""
+    rng = random.Random(71)
+    nouns, verbs = "cat dog bird horse mouse".split(), "holding washing painting throwing".split()
+
+    def text():
+        return f"A {rng.choice(nouns)} is {rng.choice(verbs)} a {rng.choice('red green blue'.split())} {rng.choice(nouns)}"
+
+    for bare in (300, 1500):  # the collection as a whole closes more, and less, than the bound
+        values = [("bare", text(), False) for _ in range(bare)] + [("closing", text() + ".", False) for _ in range(900)]
+        values += [("closing", t, True) for t in ("A cat is holding a red ho", "A dog is washing a", "A bird is", "A mouse is painting a blue cat")]
+        values += [("bare", t, True) for t in ("A dog is washing a", "A bird is", "A cat is thro")]
+        df = spark.createDataFrame([(k, s, t) for k, (s, t, _) in enumerate(values)], "doc bigint, source string, body string").repartition(4)
+        got = {r.doc: r.cut for r in truncation.truncation(df, "doc", "body", "source")[0].collect()}
+        assert [values[k] for k in got if got[k] != values[k][2]] == []
+
+
 # 8
 
 
