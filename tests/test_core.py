@@ -77,6 +77,13 @@ def test_random_uniform_budget(spark):
     assert rows(select.budget_indices(few), "budget", "frame_idx") == [(3, 0), (3, 1), (3, 2)]
 
 
+def test_mersenne_sample_of_dirty_fps(spark):
+    fps = {"a": 10.0, "b": None, "c": float("nan"), "d": 0.0, "e": -5.0, "f": 0.5, "g": 25.0, "h": None}
+    videos = spark.createDataFrame([(v, x, 0 if v == "h" else 95) for v, x in fps.items()], "video_id string, fps double, total_frames bigint").repartition(3)
+    want = {v: [0, 30, 60, 90] for v in "bcde"} | {v: sorted(random.Random(42).sample(range(95), min(95, math.ceil(95 / fps[v])))) for v in "afg"}
+    assert rows(select.mersenne_sample(videos), "video_id", "frame_idx") == sorted(((v, k) for v, own in want.items() for k in own), key=repr)
+
+
 def test_changes(spark):
     rng = random.Random(1)
     values = [(v, k, rng.choice([None, rng.getrandbits(63) - 2**62, rng.getrandbits(4)])) for v in "abc" for k in range(200)]
