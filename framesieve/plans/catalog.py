@@ -156,7 +156,8 @@ c AS (SELECT label, rn, vec_id, bits AS last, true AS keep FROM o WHERE rn = 1
 
 
 def _changed(spark, d):
-    return select.changes(_hashed(spark, d).withColumn("hash", vector.packed("bits")), 28, "label", "vec_id")
+    # A label is no video: the cap on a video's candidates is not for it.
+    return select.changes(_hashed(spark, d).withColumn("hash", vector.packed("bits")), 28, "label", "vec_id", most=None)
 
 
 @query(f"{_CHAIN} SELECT label, vec_id FROM c WHERE keep")

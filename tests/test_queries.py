@@ -53,6 +53,19 @@ def test_rows_score_as_their_captions(spark, data, con, name):
             assert abs(own[last[video]][c] - x) < 2e-6
 
 
+def test_changes_of_large_labels(spark, tmp_path):
+    """A label keeps all its changes; the cap of a video holds where it is asked for."""
+    up = [float(x) for x in range(64)]
+    spark.createDataFrame([(k, 7, up if k % 2 else up[::-1]) for k in range(2100)], "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([("video8", 30.0, 90)], "video_id string, fps double, total_frames bigint").write.parquet(str(tmp_path / "videos.parquet"))
+    assert sorted(r.vec_id for r in catalog.QUERIES["change_filter_chain"](spark, str(tmp_path)).collect()) == list(range(2100))
+    filled = catalog.QUERIES["change_filter_fallback"](spark, str(tmp_path))
+    assert filled.filter("not fallback_used").count() == 2100 and filled.filter("fallback_used").count() == 3
+    table = spark.range(2100).selectExpr("'v' AS video_id", "id AS frame_idx", "CASE WHEN id % 2 = 0 THEN 0L ELSE -1L END AS hash")
+    assert sorted(r.frame_idx for r in select.changes(table).collect()) == list(range(select.CANDIDATES))
+    assert select.changes(table, most=None).count() == 2100
+
+
 def test_streamed_changes(spark, tmp_path):
     """Two batches of a stream keep what one table keeps."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
