@@ -28,29 +28,47 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The shared folder: spark.checkpoint.dir, else the one set on the context. A folder of this machine serves only a local master;
+    on a cluster each executor would write to its own disk, so there a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        context = spark.sparkContext
+        own = context._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get()
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "framesieve-checkpoints")
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: the rows survive the loss of any executor, and lineage ends here."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def _folder_of(spark: SparkSession, path: str):
+    """The file system of a path and the path in it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as parquet below the shared folder and read it back; for results that several later jobs scan by column."""
+    """Write df as parquet below the shared folder and read it back: lineage ends here, and the rows survive the loss of any executor.
+
+    The tables of an application lie in one folder that is deleted when it ends; released() deletes one earlier."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"{checkpoint_folder(spark)}/framesieve-{spark.sparkContext.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, there = _folder_of(spark, own)
+    files.deleteOnExit(there)
     return spark.read.parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Delete the files of a table that stored() gave, once no later job reads it."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/framesieve-" in path:
+            files, there = _folder_of(df.sparkSession, path)
+            files.delete(there, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the session's Python workers, once; for sessions whose workers cannot import it."""
     context = spark.sparkContext
