@@ -1,16 +1,19 @@
 """Problem 9: evaluation texts that leak into training text.
 
-Every run of `width` consecutive words of an item is a pattern. One Aho-Corasick automaton over all patterns reads each
-document once, over its words joined by single spaces; matches that follow each other are one passage, whose place is
-given in the original text.
+One Aho-Corasick automaton reads each document once, as a sequence of words numbered by the vocabulary of the items. Its patterns are
+the items cut into blocks of half a passage's words: `width` consecutive words always hold a whole block. Where a block
+is met, the words before and after it are compared with the item's, so the longest shared run comes out; its place is given in the original text.
+The automaton thus has at most a node for each word of the items, and none of them twice, however the passages overlap.
 
-The items are held-out test material of a few MB at most. Their size is checked: items beyond shard_bytes are divided
-into shards, each with its own automaton and pass, so that what a worker holds stays bounded.
+Items with equal words are one class, searched and reported once under its smallest id; item_classes() has the members.
+
+What a worker holds is bounded: items are divided into shards of about SHARD_WORDS words, each with an automaton of its own, built once a
+worker, and a pass over the documents. Test material of a few MB is one shard.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,25 +22,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import _WORD_PY, _plain, py_words
-
-
-_SPACE = re.compile(" ")
-
-
-def build(items: list[tuple[int, list[str]]], width: int) -> ahocorasick.Automaton | None:
-    """Automaton over the items' runs of words; the value of a pattern is the list of (item, place in the item)."""
-    patterns: dict[str, list[tuple[int, int]]] = {}
-    for item, words in items:
-        for k in range(len(words) - width + 1):
-            patterns.setdefault(f" {' '.join(words[k : k + width])} ", []).append((item, k))
-    if not patterns:
-        return None
-    automaton = ahocorasick.Automaton()
-    for pattern, places in patterns.items():
-        automaton.add_word(pattern, (pattern, places))
-    automaton.make_automaton()
-    return automaton
+from ..functions.text import _WORD_PY, _plain, py_words, words
+
+#: Words of the items of one shard; the tests measure what the automaton of so many takes.
+SHARD_WORDS = 2_000_000
+
+
+class Scanner:
+    """The automaton of some items, given as (item, words), for passages of at least `width` words."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], width: int) -> None:
+        self.width, self.block = width, (width + 1) // 2
+        self.vocabulary: dict[str, int] = {}
+        self.items: list[tuple[int, list[int]]] = []
+        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for item, own in items:
+            if len(own) >= width:
+                ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+                for k in range(0, len(ids) - self.block + 1, self.block):
+                    blocks.setdefault(tuple(ids[k : k + self.block]), []).append((len(self.items), k))
+                self.items.append((item, ids))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if blocks else None
+        for block, places in blocks.items():
+            self.automaton.add_word(block, places)
+        if blocks:
+            self.automaton.make_automaton()
+
+    def runs(self, own: list[str]) -> list[tuple[int, int, int]]:
+        """(item, first, last) of each longest run of words, in words of a document, that it shares with an item at one place."""
+        if self.automaton is None or len(own) < self.width:
+            return []
+        known = self.vocabulary.get
+        doc = tuple([known(w, 0) for w in own])
+        if not any(doc):
+            return []
+        upto: dict[tuple[int, int], int] = {}
+        found = []
+        for end, places in self.automaton.iter(doc):
+            start = end - self.block + 1
+            for k, place in places:
+                if upto.get((k, start - place), -1) >= end:
+                    continue
+                item, ids = self.items[k]
+                a, b = start, end + 1
+                while a and a - start + place and doc[a - 1] == ids[a - 1 - start + place]:
+                    a -= 1
+                while b < len(doc) and b - start + place < len(ids) and doc[b] == ids[b - start + place]:
+                    b += 1
+                upto[k, start - place] = b - 1
+                if b - a >= self.width:
+                    found.append((item, a, b - 1))
+        return found
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -62,50 +97,61 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(origin[a], origin[b - 1] + 1) for a, b in spans]
 
 
-def passages(text: str, automaton: ahocorasick.Automaton, width: int) -> list[tuple[int, int, int, int]]:
+def passages(text: str, scanner: Scanner) -> list[tuple[int, int, int, int]]:
     """(item, words, start, end) of each longest run of words that the text shares with an item at one place."""
-    joined = f" {' '.join(py_words(text))} "
-    runs: dict[tuple[int, int], list[list[int]]] = {}
-    starts: dict[int, int] = {}
-    for end, (pattern, places) in automaton.iter(joined):
-        if not starts:
-            starts = {m: k for k, m in enumerate(m.start() for m in _SPACE.finditer(joined))}
-        at = starts[end - len(pattern) + 1]  # words before the match
-        for item, place in places:
-            own = runs.setdefault((item, at - place), [])
-            if own and own[-1][1] == at - 1:
-                own[-1][1] = at
-            else:
-                own.append([at, at])
-    if not runs:
+    found = scanner.runs(py_words(text))
+    if not found:
         return []
     spans = word_spans(text)
-    return sorted((item, last - first + width, spans[first][0], spans[last + width - 1][1]) for (item, _), own in runs.items() for first, last in own)
+    return sorted((item, last - first + 1, spans[first][0], spans[last][1]) for item, first, last in found)
+
+
+#: The scanner this worker used last, by the search it belongs to.
+_BUILT: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, items, width: int) -> Scanner:
+    if name not in _BUILT:
+        _BUILT.clear()  # one at a time: what a worker holds stays bounded
+        _BUILT[name] = Scanner(items.value, width)
+    return _BUILT[name]
+
+
+def _classes(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    known = items.select(F.col(item_col).cast("bigint").alias("item"), words(F.col(text_col).cast("string")).alias("words"))
+    return known.filter("item is not null and size(words) > 0")
+
+
+def item_classes(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(representative, item) for each item with a word: items with equal words have the smallest of their ids for representative."""
+    own = _classes(items, item_col, text_col)
+    least = own.groupBy("words").agg(F.min("item").alias("representative"))
+    return own.join(least, "words").select("representative", "item").distinct()
 
 
-def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, width: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
+def leaked_passages(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text_col: str, width: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id_col, item_col, n_words, start, end, passage) for each passage of at least `width` consecutive words that a document shares with an item.
 
     Words are runs of letters and digits of the lower-cased text, so case, punctuation and line ends don't matter.
     start and end count characters of the original text, from 0. Null texts share nothing, items of fewer words than
-    `width` cannot be found, equal documents and equal items are each reported. Whole texts are read once a shard."""
+    `width` cannot be found, equal documents are each reported; of items with equal words the smallest id is. Whole texts are read once a shard."""
     chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    known = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
-    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
+    known = _classes(items, item_col, item_text_col).groupBy("words").agg(F.min("item").alias("item")).filter(F.size("words") >= width)
+    total = known.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    shards = 1 if total <= shard_words else -(-2 * total // shard_words)  # half full on average, as they are not equally large
     schema = f"`{id_col}` {chosen.schema['id'].dataType.simpleString()}, `{item_col}` bigint, n_words int, start int, end int, passage string"
 
     def scan(shard: int) -> DataFrame:
-        rows = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()  # at most about shard_bytes
-        listed = documents.sparkSession.sparkContext.broadcast([(r.item, py_words(r.text)) for r in rows])
+        rows = known.filter(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard).collect()  # about shard_words words at most
+        listed = documents.sparkSession.sparkContext.broadcast([(r.item, r.words) for r in rows])
+        name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = build(listed.value, width)
+            scanner = _scanner(name, listed, width)
             for batch in batches:
                 out = []
-                if automaton is not None:
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        out += [(doc, item, n, a, b, text[a:b]) for item, n, a, b in passages(text, automaton, width)]
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    out += [(doc, item, n, a, b, text[a:b]) for item, n, a, b in passages(text, scanner)]
                 columns = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[id_col, item_col, "n_words", "start", "end", "passage"])

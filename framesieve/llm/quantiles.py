@@ -23,8 +23,8 @@ from ..session import stored
 from .common import number
 
 BITS = 24
-#: Digests that one task merges at a time, and rows that may be broadcast.
-FAN_IN, SMALL = 64, 10_000
+#: Digests that one task merges at a time, nodes that a task holds while it sketches, and rows that may be broadcast.
+FAN_IN, HELD, SMALL = 16, 1 << 20, 10_000
 
 
 def cells(values: np.ndarray) -> np.ndarray:
@@ -95,7 +95,18 @@ def answer(nodes: np.ndarray, counts: np.ndarray, shares: list[float]) -> np.nda
 def _sketch_part(n_keys: int, metrics: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
-        schema = None
+        part, schema, nodes_held = TaskContext.get().partitionId(), None, 0  # the same when the task is run again
+
+        def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            return fold(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), k)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, parts in held.items():
+                nodes, counts = together(parts)
+                arrays = [pa.array([v] * len(nodes), schema.field(i).type) for i, v in enumerate(key[:-1])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([key[-1]] * len(nodes), pa.string()), pa.array([part] * len(nodes), pa.int64()), pa.array(nodes), pa.array(counts)], names=[*schema.names[:n_keys], "metric", "part", "node", "count"])
+            held.clear()
+
         for batch in batches:
             schema = batch.schema
             pdf = batch.to_pandas()
@@ -108,21 +119,21 @@ def _sketch_part(n_keys: int, metrics: list[str], k: int):
                         cell, n = np.unique(cells(values), return_counts=True)
                         parts = held.setdefault((*(None if pd.isna(x) else x for x in key), name), [])
                         parts.append((cell + (1 << BITS), n))
-                        if sum(len(x) for x, _ in parts) > 6 * k:
-                            parts[:] = [fold(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), k)]
-        if not held:
-            return
-        part = TaskContext.get().partitionId()  # the same when the task is run again
-        for key, parts in held.items():
-            nodes, counts = fold(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), k)
-            arrays = [pa.array([v] * len(nodes), schema.field(i).type) for i, v in enumerate(key[:-1])]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([key[-1]] * len(nodes), pa.string()), pa.array([part] * len(nodes), pa.int64()), pa.array(nodes), pa.array(counts)], names=[*schema.names[:n_keys], "metric", "part", "node", "count"])
+                        nodes_held += len(cell)
+                        own = sum(len(x) for x, _ in parts)
+                        if own > 6 * k:
+                            parts[:] = [together(parts)]
+                            nodes_held += len(parts[0][0]) - own
+            if nodes_held > HELD:  # very many keys: what there is goes out, and a key's later digest is merged with it
+                yield from out()
+                nodes_held = 0
+        yield from out()
 
     return run
 
 
 def sketch(df: DataFrame, keys: list[str], metrics: list[str], rank_error: float = 0.001) -> DataFrame:
-    """Digests as rows (*keys, metric, part, node, count), one digest for each task and key.
+    """Digests as rows (*keys, metric, part, node, count), one digest for each task and key; with very many keys a task gives several.
 
     Null and NaN are not values; infinities are. A null key is a key like any other. An empty table gives no rows.
     Other columns of df are ignored; a key may not be called metric, part, node or count."""
@@ -138,7 +149,8 @@ def merge(digests: DataFrame, keys: list[str], rank_error: float = 0.001, n_part
     """One digest for each key and metric from any number of digests, by node addition.
 
     Digests of finer keys (such as days) are merged by naming fewer keys. n_parts is about how many parts there are;
-    with more than FAN_IN they are merged about FAN_IN at a time, so that no task holds very many digests of one key."""
+    with more than FAN_IN they are merged about FAN_IN at a time, so that a task holds about FAN_IN digests of one key, each of 3 k nodes at most.
+    Digests of one part are always merged together; parts of a caller's own, such as days, are told apart by setting `part`."""
     k = size_for(rank_error)
     by = [*keys, "metric"]
 
@@ -177,6 +189,19 @@ def percentiles(digest: DataFrame, keys: list[str], shares: list[float], rank_er
     return digest.groupBy(*by).applyInPandas(ask, f"{types}, p double, n bigint, low double, value double, max_rank_error bigint")
 
 
+def by_period(df: DataFrame, keys: list[str], period: str, metrics: list[str], shares: list[float], rank_error: float = 0.001, n_parts: int = 4096) -> DataFrame:
+    """percentiles() of each period (such as a day) and of all periods together: (level, *keys, period, metric, p, n, low, value, max_rank_error).
+
+    Rows are read once, for the digests of (keys, period); those of all periods are these, merged, with the same bound. level is `period` or
+    `all`; period is null in rows of level `all`, and a null period is one like any other."""
+    each = stored(merge(sketch(df, [*keys, period], metrics, rank_error), [*keys, period], rank_error, n_parts), "digests")
+    periods = each.agg(F.count_distinct(period) + 1).first()[0]
+    every = merge(each.withColumn("part", F.xxhash64(period)), keys, rank_error, periods)
+    own = percentiles(each, [*keys, period], shares, rank_error).withColumn("level", F.lit("period"))
+    total = percentiles(every, keys, shares, rank_error).withColumns({"level": F.lit("all"), period: F.lit(None).cast(each.schema[period].dataType)})
+    return own.unionByName(total).select("level", *keys, period, "metric", "p", "n", "low", "value", "max_rank_error")
+
+
 def rank_check(df: DataFrame, answers: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Exact ranks of answers: (*keys, metric, p, n, within), by one more pass over df.
 
@@ -190,4 +215,4 @@ def rank_check(df: DataFrame, answers: DataFrame, keys: list[str], metrics: list
     met = left.join(right, same).select(*(f"l.{c}" for c in [*keys, "metric"]), "x", F.explode("asked").alias("a"))
     ranks = met.groupBy(*keys, "metric", "a.p", "a.max_rank_error").agg(F.count("*").alias("n"), F.count_if(F.col("x") <= F.col("a.value")).alias("most"), F.count_if(F.col("x") < F.col("a.low")).alias("below"))
     wanted = F.col("p") * F.col("n")
-    return ranks.select(*keys, "metric", "p", "n", ((F.col("most") >= wanted - F.col("max_rank_error") - 1) & (F.col("below") <= wanted + F.col("max_rank_error") + 1)).alias("within"))
+    return ranks.select(*keys, "metric", "p", "n", ((F.col("most") >= wanted - 1e-6) & (F.col("below") <= wanted + F.col("max_rank_error") + 1)).alias("within"))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_words
 
+#: Words of texts that are put into one suffix array; a longer text has one of its own.
+TOGETHER = 1 << 18
+
 
 def repeated(documents: list[list[str]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of words, of repeated words, and the longest repeat in words, of each document."""
@@ -58,6 +61,19 @@ def repeated(documents: list[list[str]], width: int) -> tuple[np.ndarray, np.nda
     return lengths, covered, longest
 
 
+def groups(documents: list[list[str]], most: int) -> Iterator[list[list[str]]]:
+    """The documents in order, in groups of about `most` words."""
+    group, size = [], 0
+    for d in documents:
+        if group and size + len(d) > most:
+            yield group
+            group, size = [], 0
+        group.append(d)
+        size += len(d)
+    if group:
+        yield group
+
+
 def repetition(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> DataFrame:
     """(id_col, n_words, repeated_words, repeated_share, longest_repeat) for each row of df, equal rows included.
 
@@ -69,13 +85,15 @@ def repetition(df: DataFrame, id_col: str, text_col: str, width: int = 4) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, covered, longest = repeated([py_words(t) for t in batch.column(1).to_pylist()], width)
+            each = [repeated(g, width) for g in groups([py_words(t) for t in batch.column(1).to_pylist()], TOGETHER)]
+            n, covered, longest = (np.concatenate([np.zeros(0, np.int64), *(e[k] for e in each)]) for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(covered), pa.array(covered / np.maximum(n, 1)), pa.array(longest)], names=[id_col, "n_words", "repeated_words", "repeated_share", "longest_repeat"])
 
     kind = chosen.schema["id"].dataType.simpleString()
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, repeated_words bigint, repeated_share double, longest_repeat bigint")
 
 
-def looping(report: DataFrame, min_words: int = 12, share: float = 0.3) -> DataFrame:
-    """Rows of repetition() with at least min_words words of which at least `share` are repeated."""
-    return report.filter((F.col("n_words") >= min_words) & (F.col("repeated_words") >= F.lit(share) * F.col("n_words") - F.lit(1e-9)))
+def looping(report: DataFrame, min_words: int = 12, share: float = 0.3, longest: int = 4) -> DataFrame:
+    """Rows of repetition() with at least min_words words of which at least `share` are repeated, and a repeat of at least `longest` words; at the
+    width that repetition() counts from, 4, the share includes that."""
+    return report.filter((F.col("n_words") >= min_words) & (F.col("longest_repeat") >= longest) & (F.col("repeated_words") >= F.lit(share) * F.col("n_words") - F.lit(1e-9)))

@@ -25,16 +25,21 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-LINK = re.compile(r"<a\s[^<>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.IGNORECASE)
+#: Each alternative is linear: it starts only where it could not have started before, and what it repeats it does not give back.
+LINK = re.compile(r"<a\s[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^()\s]*+\)|(?:https?://|www\.)\S++|(?<![\w.-])(?P<host>[\w.-]++)/\S*+", re.IGNORECASE)
+HOST = re.compile(r"[\w-]++(?:\.[\w-]++)*+")
 TAG = re.compile(r"(?<![\w&])#\w+")
 PRICE = re.compile(r"[$€£¥]\s?\d[\d.,]*")
 NUMBER = re.compile(r"\d+")
 WORD = re.compile(r"[^\W_]+")
 #: Runs of letters and digits that are no words, such as hashes and encoded data.
 BLOB = re.compile(r"[A-Za-z0-9_+/=]{40,}")
-SENTENCE_END = r"[.!?。।؟…！？]+[\"'”’»)\]]*"
-SEGMENT = re.compile(rf"[^\n\r]*?{SENTENCE_END}(?=\s|$)\s*|[^\n\r]*?[。！？]|[^\n\r]+(?:[\n\r]+\s*|$)|[\n\r]+\s*")
-END = re.compile(rf"{SENTENCE_END}\s*$")
+#: Signs that end sentences, those of scripts that put no space after them, and what may close a sentence behind its sign.
+SIGNS, WIDE_SIGNS, CLOSERS = ".!?。।؟…！？", "。！？", "\"'”’»)]"
+END = re.compile(f"[{SIGNS}]++[{re.escape(CLOSERS)}]*+")
+LINE = re.compile(r"[^\n\r]++")
+BREAK = re.compile(r"[\n\r]++\s*+")
+SPACE = re.compile(r"\s*+")
 #: Letters of scripts that put no space between words.
 WIDE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 #: What parts the items of a list; between letters of WIDE scripts a space does, too.
@@ -54,13 +59,58 @@ FUNCTION = frozenset(
 )
 #: Segments of more words than these are sentences only if function words hold them together.
 LONG_SENTENCE = 60
-#: Thin blocks of sentences are stuffed below this normalised ratio.
-EXTREME = 0.5
+#: Blocks that are not of sentences are stuffed below LOW of the usual ratio, thin blocks of sentences below EXTREME. What is no sentence was judged by its
+#: density already; LOW only spares text that is as varied as prose, and lies above the ratios of lists, whose links and prices are signs.
+LOW, EXTREME = 0.85, 0.5
+
+
+def is_host(name: str) -> bool:
+    """Labels joined by single dots, the last one of two letters at least."""
+    last = name.rpartition(".")[2]
+    return len(last) < len(name) and len(last) > 1 and last.isascii() and last.isalpha() and HOST.fullmatch(name) is not None
 
 
 def without_links(text: str, sign: str) -> str:
     """The text with a sign for each link; a text without any character that links need is not searched."""
-    return LINK.sub(sign, text) if "/" in text or "](" in text or "www." in text.lower() else text
+    if "/" not in text and "](" not in text and "www." not in text.lower():
+        return text
+    return LINK.sub(lambda m: sign if m["host"] is None or is_host(m["host"].lstrip(".-")) else m.group(), text)
+
+
+def segments(text: str) -> list[str]:
+    """The text cut behind sentence signs that white space or the end follows; a line without one behind each sign of scripts without spaces; and at line ends.
+
+    White space belongs to the segment before it. The segments together are the text; one pass, whatever the text is."""
+    out, at = [], 0
+    while at < len(text):
+        line = LINE.match(text, at)
+        if not line:
+            end = BREAK.match(text, at).end()
+            out.append(text[at:end])
+            at = end
+            continue
+        stop = line.end()
+        for m in END.finditer(text, at, stop):
+            if m.end() == len(text) or text[m.end()].isspace():
+                end = SPACE.match(text, m.end()).end()
+                out.append(text[at:end])
+                at = end
+        if at >= stop:
+            continue
+        for k in range(at, stop) if not text.isascii() else ():
+            if text[k] in WIDE_SIGNS:
+                out.append(text[at : k + 1])
+                at = k + 1
+        if at < stop:
+            tail = BREAK.match(text, stop)
+            out.append(text[at : tail.end() if tail else stop])
+            at += len(out[-1])
+    return out
+
+
+def ends_well(segment: str) -> bool:
+    """Whether a sentence sign, with nothing but closing signs behind it, ends the segment."""
+    return segment.rstrip().rstrip(CLOSERS).endswith(tuple(SIGNS))
 
 
 def function_share(words: list[str]) -> float:
@@ -77,7 +127,7 @@ def is_sentence(segment: str) -> bool:
     without spaces), and is no list: under five of them an item or very many in all, and hardly a function word among them.
 
     One word said over and over is a loop, not a list."""
-    if not END.search(segment):
+    if not ends_well(segment):
         return False
     rest = without_links(segment, " \x01 ")
     if "#" in rest:
@@ -115,7 +165,7 @@ def blocks(text: str) -> list[tuple[bool, bool, int, int, int]]:
     """(of sentences, of thin ones that compress well, characters, bytes, deflated bytes of the signs) of each block; characters of blobs, and of blocks
     that are mostly neither letters nor links (tables of numbers, code), do not count."""
     out = []
-    for sentences, group in itertools.groupby(SEGMENT.findall(text), key=is_sentence):
+    for sentences, group in itertools.groupby(segments(text), key=is_sentence):
         block = "".join(group)
         unlinked = without_links(block.lower(), "\x01")
         plain = TAG.sub("\x02", unlinked) if "#" in unlinked else unlinked
@@ -139,12 +189,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in batch.column(2).to_pylist()], pa.int64()), listed], names=["id", "lang", "size", "blocks"])
 
 
-def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low: float = 0.85, min_blocks: int = 20, max_langs: int = 1000) -> DataFrame:
+def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low: float = LOW, min_blocks: int = 20) -> DataFrame:
     """(id_col, n_chars, stuffed_chars, stuffed_share, least_ratio) for each row with a text, equal rows included.
 
     least_ratio is the least normalised ratio of a block that is not of sentences, or of thin ones, null without such a block. Null texts
-    take no part; empty texts have zeros. A language with fewer than min_blocks blocks of a length, a null one, or one that is not
-    among the max_langs most frequent, is measured against all languages together, a length with fewer
+    take no part; empty texts have zeros. A language with fewer than min_blocks blocks of a length, or a null one,
+    is measured against all languages together, a length with fewer
     in all languages against the nearest that has them. Whole texts are read; other columns
     of df are ignored."""
     chosen = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
@@ -152,23 +202,24 @@ def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low:
     features = stored(chosen.mapInArrow(_features, f"id {kind}, lang string, size bigint, blocks array<struct<sentences: boolean, thin: boolean, chars: bigint, bytes: bigint, deflated: bigint>>"), "blocks")
     each = features.select("lang", F.explode("blocks").alias("b")).filter("b.sentences and not b.thin")
     band, ratio = F.ceil(F.log2(F.col("b.bytes") + 1)).cast("int"), F.col("b.deflated") / F.col("b.bytes")
-    totals = each.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"), F.sum(ratio).alias("total"))
+    totals = stored(each.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"), F.sum(ratio).alias("total")), "ratios")
     bands = totals.groupBy("band").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("m")).collect()  # a row a doubling of length
     everywhere = {r.band: r.m for r in bands if r.n >= min_blocks} or {r.band: r.m for r in bands}
-    frequent = totals.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(max_langs)
-    own = {(r.lang, r.band): r.total / r.n for r in totals.filter(F.col("n") >= min_blocks).join(frequent, "lang").collect()}  # at most max_langs languages
+    # What is usual in a language goes to its rows by a join: there may be any number of languages, and one of them may have most rows.
+    own = totals.filter((F.col("n") >= min_blocks) & F.col("lang").isNotNull()).groupBy("lang").agg(F.collect_list(F.struct("band", (F.col("total") / F.col("n")).alias("mean"))).alias("usual"))
+    met = features.join(own, "lang", "left").select("id", "size", "blocks", "usual")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = sorted(everywhere)
         for batch in batches:
             rows = []
-            for lang, size, listed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for size, listed, means in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 stuffed, least = 0, None
                 for b in listed:
                     if b["sentences"] and not b["thin"]:
                         continue
                     band = b["bytes"].bit_length()
-                    usual = own.get((lang, band)) or (everywhere[min(nearest, key=lambda x: abs(x - band))] if nearest else 0.6)
+                    usual = next((x["mean"] for x in means or () if x["band"] == band), None) or (everywhere[min(nearest, key=lambda x: abs(x - band))] if nearest else 0.6)
                     ratio = b["deflated"] / b["bytes"] / usual
                     least = ratio if least is None else min(least, ratio)
                     stuffed += b["chars"] if ratio < (EXTREME if b["thin"] else low) else 0
@@ -176,7 +227,7 @@ def block_report(df: DataFrame, id_col: str, text_col: str, lang_col: str, low:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=[id_col, "n_chars", "stuffed_chars", "stuffed_share", "least_ratio"])
 
-    return features.mapInArrow(judge, f"`{id_col}` {kind}, n_chars bigint, stuffed_chars bigint, stuffed_share double, least_ratio double")
+    return met.mapInArrow(judge, f"`{id_col}` {kind}, n_chars bigint, stuffed_chars bigint, stuffed_share double, least_ratio double")
 
 
 def stuffed_pages(report: DataFrame, share: float = 0.5) -> DataFrame:

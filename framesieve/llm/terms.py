@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_words
+from ..session import stored
 
 #: A first word with a larger share of a block's suffixes than this is spread over SALTS tasks by its second word.
 HOT_SHARE, SALTS = 1 / 64, 16
@@ -66,6 +67,7 @@ def _map_suffixes(sigma: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             suffixes, count, new, salt = block_suffixes([py_words(t) for t in batch.column(0).to_pylist()], sigma)
+            yield pa.RecordBatch.from_arrays([pa.array([[]], pa.list_(pa.string())), pa.array([batch.num_rows]), pa.array([[batch.num_rows]], pa.list_(pa.int64())), pa.array([0], pa.int32())], schema=_SUFFIX_ARROW)
             if suffixes:
                 yield pa.RecordBatch.from_arrays([pa.array(suffixes, pa.list_(pa.string())), pa.array(count), pa.array(new.tolist(), pa.list_(pa.int64())), pa.array(salt)], schema=_SUFFIX_ARROW)
 
@@ -80,6 +82,9 @@ class PrefixStack:
         self.counts: list[list[int]] = []
 
     def push(self, suffix: list[str], cf: int, marks: list[int]) -> Iterator[tuple[list[str], int, int]]:
+        if not suffix:  # the empty prefix, which every record has
+            yield [], cf, sum(marks)
+            return
         shared = 0
         while shared < min(len(suffix), len(self.path)) and suffix[shared] == self.path[shared]:
             shared += 1
@@ -114,20 +119,21 @@ def _stack_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield out(list(stack.pop()))
 
 
-def term_counts(df: DataFrame, text_col: str, sigma: int = 1) -> DataFrame:
-    """Counts of every word n-gram of up to sigma words: (term, n, cf, df), terms joined by single spaces.
+def term_counts(df: DataFrame, text_col: str, sigma: int = 1) -> tuple[DataFrame, int]:
+    """(counts, number of records): counts of every word n-gram of up to sigma words, (term, n, cf, df), terms joined by single spaces.
 
     Each row of df is one record: cf counts occurrences, df the records with at least one. Null, empty and wordless
-    texts give no terms (they still count as records for a caller that needs the number of records). Equal records
-    count separately. An empty table gives no rows. Other columns of df are ignored, whatever their names."""
+    texts give no terms, but count as records; the one pass over df counts both. Equal records
+    count separately. An empty table gives no rows and 0 records. Other columns of df are ignored, whatever their names."""
     if sigma < 1:
         raise ValueError("sigma must be at least 1")
-    texts = df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    texts = df.select(F.col(text_col).cast("string").alias("text"))
     suffixes = texts.mapInArrow(_map_suffixes(sigma), SUFFIX_SCHEMA)
-    routed = suffixes.withColumn("head", F.xxhash64(F.col("suffix")[0], "salt")).repartition("head")
+    routed = suffixes.withColumn("head", F.xxhash64(F.get("suffix", F.lit(0)), "salt")).repartition("head")
     prefixes = routed.sortWithinPartitions(F.col("suffix").desc()).select("suffix", "cf", "marks").mapInArrow(_stack_prefixes, "term string, n int, cf bigint, df bigint")
     # A first word that was spread, or that was hot in some blocks only, comes from several tasks.
-    return prefixes.groupBy("term", "n").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    counts = stored(prefixes.groupBy("term", "n").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")), "terms")
+    return counts.filter("n > 0"), counts.filter("n = 0").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
 
 def marked_terms(counts: DataFrame, n_records: int, rare_df: int = 2, common_share: float = 0.09) -> DataFrame:

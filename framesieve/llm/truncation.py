@@ -7,8 +7,10 @@ variable of the neighbours' rate, at a false-discovery rate of q within a source
 Endings: a text is complete if it ends with sentence punctuation, and cut if it ends with a sign of a cut, with
 an open bracket or comma, or without punctuation although its own style, that of its source, has it. What is left, clauses
 without a full stop, is judged by how words end and go on in all such clauses: the last word, the last pair, the two words before the
-last, and the two before those. A last word hardly seen elsewhere that begins many others was cut inside. At a limit length weaker
-evidence is enough.
+last, and the two before those. A last word hardly seen elsewhere that begins many others was cut inside.
+
+Verdict: at a limit every ending that is not complete is cut, unless the words there say that clauses often end so. Elsewhere, where texts are
+cut too, the ending has to tell by itself: a sign of a cut, the style of the source, or words that hardly ever end a clause. The report says which it was.
 """
 
 from __future__ import annotations
@@ -161,11 +163,12 @@ def length_limits(lengths: DataFrame, reach: int = 10, q: float = 0.001, least:
 
 
 def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low: float = 0.1, low_at_limit: float = 0.3, never: float = 0.02, punctuated: float = 0.6, few: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(report, limits): report is (id_col, source, chars, words, at_limit, state, end_rate, cut), a row for each row of df.
+    """(report, limits): report is (id_col, source, chars, words, at_limit, state, end_rate, reason, cut), a row for each row of df.
 
     state is how the ending looks by itself (see ending()), end_rate the smoothed share of ends in its place where that
-    was needed. Null, empty and blank texts are never cut. A text of the length of a limit is cut only if its ending is
-    not complete. A capitalised clause without a full stop is cut if its source closes `punctuated` of its capitalised texts
+    was needed. reason tells why a text is cut: `limit` (an ending that is not complete, at the length of a limit, with an end_rate below low_at_limit),
+    and elsewhere `ending` (its state), `style` or `words` (an end_rate below low); null if it is not cut. Null, empty and blank texts are never cut, nor
+    are complete ones at a limit. A capitalised clause without a full stop is cut if its source closes `punctuated` of its capitalised texts
     (with `few` texts of the collection's share added); in other sources its words decide. A null source is a source of its own. Other columns of df are ignored."""
     chosen = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
@@ -208,14 +211,16 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low:
     rates = met.select("row", rate.alias("end_rate"))
 
     joined = placed.join(rates, "row", "left").join(closes, F.col("source").eqNullSafe(F.col("style_source")), "left").join(F.broadcast(usual))  # one row
+    told_by_words = F.col("state").isin("open", "loose")
+    by_limit = F.col("at_limit") & ((F.col("state") == "cut") | told_by_words & (F.col("end_rate") < low_at_limit))
     by_style = (F.col("state") == "loose") & F.coalesce("closes", "usually_closes")
-    by_words = F.col("state").isin("open", "loose") & (F.col("end_rate") < F.when(F.col("at_limit"), low_at_limit).otherwise(low))
-    cut = (F.col("state") == "cut") | by_style | by_words
-    report = joined.select(F.col("id").alias(id_col), "source", "chars", "words", "at_limit", "state", "end_rate", F.coalesce(cut, F.lit(False)).alias("cut"))
+    reason = F.when(by_limit, "limit").when(F.col("state") == "cut", "ending").when(by_style, "style").when(told_by_words & (F.col("end_rate") < low), "words")
+    report = joined.select(F.col("id").alias(id_col), "source", "chars", "words", "at_limit", "state", "end_rate", reason.alias("reason"), reason.isNotNull().alias("cut"))
     return report, limits
 
 
 def cut_rates(report: DataFrame) -> DataFrame:
-    """(source, n_texts, n_cut, cut_rate, n_at_limit): texts that are not blank, and how many were cut."""
+    """(source, n_texts, n_cut, cut_rate, n_at_limit, n_by_limit): texts that are not blank, how many were cut, how many have a limit's length, and how many
+    of these were cut there."""
     told = report.filter("state <> 'blank'")
-    return told.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_rate"), F.count_if("at_limit").alias("n_at_limit"))
+    return told.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("double")).alias("cut_rate"), F.count_if("at_limit").alias("n_at_limit"), F.count_if(F.col("reason") == "limit").alias("n_by_limit"))

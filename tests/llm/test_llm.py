@@ -48,12 +48,14 @@ def test_term_counts(spark, sigma):
     rng = random.Random(sigma)
     values = [" ".join(rng.choices("a a a b c dd e.".split(), k=rng.randint(0, 9))) for _ in range(300)] + TEXTS[:-1]
     df = texts(spark, values).repartition(5)
-    assert rows(terms.term_counts(df, "body", sigma), "term", "n", "cf", "df") == brute_counts(values, sigma)
-    assert terms.term_counts(empty(spark), "body", sigma).count() == 0
+    counts, n = terms.term_counts(df, "body", sigma)
+    assert rows(counts, "term", "n", "cf", "df") == brute_counts(values, sigma) and n == len(values)
+    counts, n = terms.term_counts(empty(spark), "body", sigma)
+    assert counts.count() == 0 and n == 0
 
 
 def test_term_counts_hot_and_long(spark):
-    got = rows(terms.term_counts(texts(spark), "body", 2), "term", "n", "cf", "df")
+    got = rows(terms.term_counts(texts(spark), "body", 2)[0], "term", "n", "cf", "df")
     assert ("word", 1, 200_000, 1) in got and ("word word", 2, 199_999, 1) in got
 
 
@@ -105,6 +107,40 @@ def test_percentiles(spark):
         quantiles.sketch(df.withColumn("node", F.lit(1)), ["node"], ["x"])
 
 
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_periods(spark, monkeypatch, held):
+    """Answers of all days, merged from the days' digests, and of each day lie between exact order statistics; so they do when a task gives its digests out early."""
+    monkeypatch.setattr(quantiles, "HELD", held)
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(40)]), rng.choice([None, float("nan"), 1.0, rng.lognormvariate(0, 2)])) for _ in range(8000)]
+    df = spark.createDataFrame(data, "g string, day int, x double").repartition(3)
+    error, shares = 0.01, [0.0, 0.5, 0.99, 1.0]
+    got = quantiles.by_period(df, ["g"], "day", ["x"], shares, error, 8).collect()
+    own = defaultdict(list)
+    for g, day, x in data:
+        if x is not None and x == x:
+            own["period", g, day].append(x)
+            own["all", g, None].append(x)
+    assert len(got) == len(own) * len(shares) and {(r.level, r.g, r.day) for r in got} == set(own)
+    for r in got:
+        x = sorted(own[r.level, r.g, r.day])
+        first = max(1, int(np.ceil(r.p * len(x) - 1e-9)))
+        assert r.n == len(x) and r.max_rank_error == int(error * len(x))
+        assert x[first - 1] <= r.value and r.low <= x[min(len(x), first + r.max_rank_error + 2) - 1]
+    assert quantiles.by_period(df.filter("day > 99"), ["g"], "day", ["x"], shares).count() == 0
+
+
+def test_registered_percentiles_lie_between_exact_ones(spark, data):
+    from framesieve.llm.queries import p2_exact, p2_percentiles
+
+    exact = {(r.sampling_method, r.metric, r.p): r for r in p2_exact(spark, data).collect()}
+    totals = [r for r in p2_percentiles(spark, data).collect() if r.level == "all"]
+    assert len(totals) == len(exact) > 8
+    for r in totals:
+        e = exact[r.sampling_method, r.metric, r.p]
+        assert r.n == e.n and e.least <= r.value and r.low <= e.most
+
+
 # 3
 
 
@@ -126,16 +162,17 @@ def walk(table, damping=0.85, rounds=300):
     return p * n
 
 
-@pytest.mark.parametrize("max_values", [1000, 0])
-def test_rank_walk(spark, max_values):
+@pytest.mark.parametrize("fine", [1 << 16, 12])
+def test_rank_walk(spark, fine):
+    """Cells of single values give the dense chain; coarser ones stay near it."""
     rng = random.Random(3)
-    data = [(k, rng.choice([None, 0.0, -0.0, round(rng.random(), 1)]), rng.choice([float("nan"), rng.random() * 1000]), 1.0) for k in range(40 if max_values else 12)]
+    data = [(k, rng.choice([None, 0.0, -0.0, round(rng.random(), 1)]), rng.choice([float("nan"), float("inf"), rng.random() * 1000]), 1.0) for k in range(40)]
     df = spark.createDataFrame(data + [(100, None, None, 1.0), (101, 0.5, 7.0, 1.0), (102, 0.5, 7.0, 1.0)], "item bigint, good double, cost double, score double")
     table = [[r.good, None if r.cost is None or r.cost != r.cost else -r.cost] for r in df.collect()]
     want = dict(zip([r.item for r in df.collect()], walk(table), strict=True))
-    got = ranking.rank_walk(df, "item", {"good": True, "cost": False}, tolerance=1e-9 if max_values else 1e-4, rounds=100 if max_values else 12, max_values=max_values).collect()
+    got = ranking.rank_walk(df, "item", {"good": True, "cost": False}, fine=fine).collect()
     for r in got:
-        assert abs(r.score - want[r.item]) < (1e-6 if max_values else 0.05)
+        assert abs(r.score - want[r.item]) < (2e-9 if fine > 100 else 0.05)
     order = sorted(got, key=lambda r: r.position)
     assert [r.position for r in order] == list(range(1, len(got) + 1))
     assert all((-a.score, a.item) < (-b.score, b.item) for a, b in zip(order, order[1:]))
@@ -143,6 +180,30 @@ def test_rank_walk(spark, max_values):
     assert scores[101] == scores[102]
 
 
+def test_cells(spark):
+    """Values with many better ones share cells, values of many rows don't, and there are few cells for many values."""
+    rng = random.Random(4)
+    data = [(float(k // 2),) for k in range(6000)] + [(1234.0,)] * 3000 + [(None,)] * 50 + [(float("inf"),), (float("-inf"),)]
+    rng.shuffle(data)
+    values = [x for (x,) in data if x is not None]
+    own = sorted(ranking.cells(spark.createDataFrame(data, "s0 double").repartition(5), 1, 64).collect(), key=lambda r: r.lowest)
+    assert len(own) < 2 * 64 * (1 + np.log(9000 / 64) + 1) and sum(r.n for r in own) == len(values)
+    assert all(a.highest < b.lowest for a, b in zip(own, own[1:])) and [r.n for r in own if r.lowest == 1234.0] == [3002]
+    for r in own[:: 20]:
+        inside = [x for x in values if r.lowest <= x <= r.highest]
+        better = [sum(y > x for y in values) for x in inside]
+        assert len(inside) == r.n and abs(r.each - np.mean([1 / b if b else 0 for b in better])) < 1e-12
+        assert inside.count(r.highest) == r.n_highest and (r.lowest == r.highest or max(better) <= min(better) * (1 + 2 / 64))
+
+
+def test_hot_ties_and_nulls(spark):
+    """A third of all rows share a value, another third has no score at all."""
+    data = [(k, 0.0 if k % 3 == 0 else None, float(k % 7) if k % 3 == 0 else None) for k in range(60)] + [(k, float(k), None) for k in range(60, 75)]
+    want = walk([[a, b] for _, a, b in data])
+    got = {r.item: r.score for r in ranking.rank_walk(spark.createDataFrame(data, "item bigint, a double, b double").repartition(4), "item", {"a": True, "b": True}).collect()}
+    assert max(abs(got[k] - w) for (k, _, _), w in zip(data, want, strict=True)) < 2e-9
+
+
 def test_rank_walk_scale_and_empty(spark):
     df = spark.createDataFrame([(k, float(k), float((k * 7) % 11)) for k in range(11)], "item bigint, a double, b double")
     first = rows(ranking.rank_walk(df, "item", {"a": True, "b": True}), "item", "position")
@@ -218,8 +279,17 @@ def test_repetition(spark):
 
 
 def test_looping_bounds(spark):
-    report = spark.createDataFrame([(1, 20, 6), (2, 20, 5), (3, 11, 11), (4, 12, 4)], "doc bigint, n_words bigint, repeated_words bigint")
-    assert rows(repetition.looping(report), "doc") == [(1,), (4,)]
+    report = spark.createDataFrame([(1, 20, 6, 9), (2, 20, 5, 9), (3, 11, 11, 10), (4, 12, 4, 4), (5, 20, 20, 3)], "doc bigint, n_words bigint, repeated_words bigint, longest_repeat bigint")
+    assert rows(repetition.looping(report), "doc") == [(1,), (4,)] and rows(repetition.looping(report, longest=9), "doc") == [(1,)]
+
+
+@pytest.mark.parametrize("most", [1, 7, 100])
+def test_groups_of_words(spark, monkeypatch, most):
+    monkeypatch.setattr(repetition, "TOGETHER", most)
+    documents = [["a"] * n for n in (0, 3, 9, 0, 2, 2, 2, 50, 1)]
+    own = list(repetition.groups(documents, most))
+    assert [d for g in own for d in g] == documents and all(len(g) == 1 or sum(map(len, g)) <= most for g in own)
+    test_repetition(spark)
 
 
 # 6
@@ -244,6 +314,26 @@ def test_log_entropy(spark, monkeypatch):
         assert abs(r.weight - weight) < 1e-9 and abs(r.score - np.log1p(r.tf) * weight) < 1e-9
     assert distinctive.log_entropy(distinctive.term_frequencies(df.filter("v = 'none'"), "v", "i", "body"), 0).count() == 0
     assert all(r.weight == 1 for r in distinctive.log_entropy(frequencies, 1).collect())
+    monkeypatch.setattr(distinctive, "HOT_TEXTS", 10)  # records and terms with more are spread
+    monkeypatch.setattr(distinctive, "HOT_SHARE", 0.0)
+    spread = distinctive.term_frequencies(df, "v", "i", "body")
+    assert rows(spread, "record", "term", "tf", "texts") == rows(frequencies, "record", "term", "tf", "texts")
+    monkeypatch.setattr(distinctive, "HOT_TEXTS", 2)
+    rounded = [F.round(c, 9).alias(c) if c in ("weight", "score") else c for c in scored.columns]
+    assert rows(distinctive.log_entropy(spread, 3).select(*rounded), *scored.columns) == rows(scored.select(*rounded), *scored.columns)
+
+
+def test_marking_terms_come_through_weights(spark):
+    """Every term of few records has the weight that is asked for; a term of more records can have it, and is then left out by its count."""
+    n = 100
+    data = [(v, f"even{m}", 5, 5) for m in range(1, 12) for v in range(m)] + [(v, "uneven", 500 if v == 0 else 1, 5) for v in range(8)] + [(v, "rare", 5, 3) for v in range(2)]
+    frequencies = spark.createDataFrame(data, "record bigint, term string, tf bigint, texts bigint")
+    scored = distinctive.log_entropy(frequencies, n)
+    floor = distinctive.least_weight(n, 6)
+    assert {r.term for r in scored.filter(F.col("weight") >= floor - 1e-9).collect()} == {*(f"even{m}" for m in range(1, 7)), "uneven", "rare"}
+    found = distinctive.marking_terms(scored, n)
+    assert {r.term for r in found.collect()} == {f"even{m}" for m in range(2, 7)}
+    assert "ln" in found._jdf.queryExecution().optimizedPlan().toString().lower() or "weight" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 # 7
@@ -292,6 +382,32 @@ def test_copies_do_not_vouch_for_a_cut(spark, copies):
     assert report == {k: t.rstrip() == "a drummer sings to" for k, t in enumerate(values)}
 
 
+def test_limits_decide(spark):
+    """The same endings, which the words alone leave open, are cut at a length where their source stops far too often, and nowhere else."""
+    rng = random.Random(72)
+    nouns = [a + b for a in "bal der fim gon hul jap".split() for b in "ton rik sel mar".split()]
+    more = ["near the {}", "by {}", "with a small {}", "on top of the {}"]
+    values = []
+    for k in range(4000):  # behind each noun a clause ends with a chance of one in five
+        t = " ".join(["a", *rng.choices("old small red".split(), k=rng.randint(0, 7)), rng.choice(nouns)])
+        while rng.random() < 0.8:
+            t += " " + rng.choice(more).format(rng.choice(nouns))
+        values.append(("free", t, False) if k % 2 else ("limited", " ".join(t.split()[:14]), None))
+    df = spark.createDataFrame([(k, s, t) for k, (s, t, _) in enumerate(values)], "doc bigint, source string, body string").repartition(4)
+    report, limits = truncation.truncation(df, "doc", "body", "source")
+    assert rows(limits.filter("unit = 'words'"), "source", "length") == [("limited", 14)], rows(limits, *limits.columns)
+    got = {r.doc: r for r in report.collect()}
+    by = Counter((r.reason, r.at_limit) for r in got.values())
+    assert by["limit", True] > 400 and not by["limit", False] and all((r.reason is not None) == r.cut for r in got.values())
+    # With the hazards switched off, rows that only a limit's laxer bound decides are no longer cut.
+    strict, _ = truncation.truncation(df, "doc", "body", "source", low_at_limit=0.0)
+    lost = {r.doc for r in strict.collect() if not r.cut} & {k for k, r in got.items() if r.cut}
+    assert len(lost) > 100 and all(got[k].reason == "limit" and got[k].end_rate >= 0.1 for k in lost)
+    assert sum(r.cut for k, r in got.items() if values[k][0] == "free") < 0.05 * 2000  # a chance of one in five is near the bound of 0.1
+    rates = {r.source: r for r in truncation.cut_rates(report).collect()}
+    assert rates["limited"].n_by_limit == by["limit", True] and rates["free"].n_by_limit == 0
+
+
 def test_sources_that_leave_out_full_stops(spark):
     """Of two kinds of sources, one closes its sentences, the other, with more than a third of the rows, none."""
     rng = random.Random(71)
@@ -345,18 +461,66 @@ def test_leaks(spark):
     w = py_words(item)
     docs = [None, "", "x " * 50, f"Intro. {item.upper()}! End", "so: " + "\n".join(w[3:13]) + " end", "so " + " ".join(w[3:12]) + " end", " ".join(w[:10]) + " and " + " ".join(w[:10]), "İ" * 3 + " " + " ".join(w[2:12]), LONG + " ".join(w[:12])]
     df = texts(spark, docs)
-    items = spark.createDataFrame([(1, item, 0), (2, item, 0), (3, "too short", 0), (4, None, 0), (1, item, 0)], "item bigint, body string, text int")
+    items = spark.createDataFrame([(2, item, 0), (1, f"“{item}”", 0), (3, "too short", 0), (4, None, 0), (1, item, 0)], "item bigint, body string, text int")
     found = leaks.leaked_passages(df, "doc", "body", items, "item", "body")
-    assert rows(found.select("doc", "item").distinct(), "doc", "item") == [(d, i) for d in (3, 4, 6, 7, 8) for i in (1, 2)]
+    assert rows(found, "doc", "item", "n_words") == [(3, 1, len(w)), (4, 1, 10), (6, 1, 10), (6, 1, 11), (7, 1, 10), (8, 1, 12)]
     for r in found.collect():
         assert docs[r.doc][r.start : r.end] == r.passage and len(py_words(r.passage)) == r.n_words
         assert " ".join(py_words(r.passage)) in " ".join(w)
-    sharded = leaks.leaked_passages(df, "doc", "body", items, "item", "body", shard_bytes=60)
+    assert rows(leaks.item_classes(items, "item", "body"), "representative", "item") == [(1, 1), (1, 2), (3, 3)]
+    sharded = leaks.leaked_passages(df, "doc", "body", items, "item", "body", shard_words=9)
     assert rows(sharded, "doc", "item", "start", "end") == rows(found, "doc", "item", "start", "end")
     assert leaks.leaked_passages(df, "doc", "body", items.filter("item > 9"), "item", "body").count() == 0
     assert leaks.leaked_passages(empty(spark), "doc", "body", items, "item", "body").count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 10])
+def test_runs(width):
+    """All longest shared runs, against comparison of every pair of places."""
+    rng = random.Random(width)
+    items = [(k, rng.choices("abc" if k % 2 else "abcdefghij", k=rng.randint(0, 40))) for k in range(8)]
+    scanner = leaks.Scanner(items, width)
+    for _ in range(60):
+        doc = rng.choices("abcx", k=rng.randint(0, 30))
+        _, own = rng.choice(items)
+        at = rng.randint(0, len(doc))
+        doc[at:at] = own[rng.randint(0, 5) : rng.randint(5, 40)]
+        want = set()
+        for item, w in items:
+            for i in range(len(doc)):
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(doc) and j + n < len(w) and doc[i + n] == w[j + n]:
+                        n += 1
+                    if n >= width and not (i and j and doc[i - 1] == w[j - 1]):
+                        want.add((item, i, i + n - 1))
+        assert set(scanner.runs(doc)) == want
+
+
+def test_size_of_automata():
+    """A shard's automaton and vocabulary stay under 300 bytes a word of the items, so SHARD_WORDS words take at most 600 MB, mostly new words included."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    items = [(k, [f"w{rng.randrange(10**9)}" for _ in range(200)]) for k in range(500)]
+    tracemalloc.start()
+    scanner = leaks.Scanner(items, 10)
+    python = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert scanner.automaton.get_stats()["total_size"] + python < 300 * 100_000
+
+
+def test_several_shards(spark):
+    rng = random.Random(10)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for k in range(300)]
+    docs = [f"intro {' '.join(t.split()[5:25])} end" if k % 2 else "nothing to see here" for k, t in items]
+    df = texts(spark, docs).repartition(3)
+    table = spark.createDataFrame(items, "item bigint, body string")
+    found = leaks.leaked_passages(df, "doc", "body", table, "item", "body", shard_words=4000)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") > 4
+    assert rows(found, "doc", "item", "n_words") == [(k, k, 20) for k in range(1, 300, 2)] or {(r.doc, r.item) for r in found.collect()} == {(k, k) for k in range(1, 300, 2)}
+
+
 # 10
 
 
@@ -381,6 +545,36 @@ def test_stuffing(spark):
     assert stuffing.block_report(df.filter("doc < 0"), "doc", "body", "lang").count() == 0
 
 
+def test_segments():
+    cases = {"One. Two! Three": ["One. ", "Two! ", "Three"], "a.b c": ["a.b c"], "Is it?”  Yes.\n\n x": ["Is it?”  ", "Yes.\n\n ", "x"], "猫。犬！x": ["猫。", "犬！", "x"], "\r\n\n a\nb\n": ["\r\n\n ", "a\n", "b\n"], "": [], "...": ["..."]}
+    assert {t: stuffing.segments(t) for t in cases} == cases
+    rng = random.Random(12)
+    for _ in range(500):
+        t = "".join(rng.choices("ab .!?。\"')\n\r\t", k=rng.randint(0, 40)))
+        assert "".join(stuffing.segments(t)) == t
+    assert [stuffing.ends_well(t) for t in ("a.", "a.” ", "a", ". a", "")] == [True, True, False, False, False]
+    links = {"see bad.example.com/x-1 now": "see L now", "a/b and 1.5/2": "a/b and 1.5/2", "[x](y) [z](": "L [z](", "<a href=q>w</a>!": "L!", "(https://e.x/y)": "(L", "a..b.com/": "a..b.com/"}
+    assert {t: stuffing.without_links(t, "L") for t in links} == links
+
+
+@pytest.mark.parametrize("unit", [".", "a-", "a.", "[", "[a](", "<a x>", "www.", "#a ", "$1,", "。a", '."', " ", "\n", "aB3/", "a, "])
+def test_long_lines_take_linear_time(unit):
+    import time
+
+    for tail in ("x", "/", ""):
+        text = "/ " + unit * (1_000_000 // len(unit)) + tail
+        began = time.process_time()
+        stuffing.blocks(text)
+        assert time.process_time() - began < 6, (unit, tail)  # about one second; a quadratic pattern takes hours
+
+
+def test_many_languages(spark):
+    """Each language is measured by itself, however many there are."""
+    prose = "The cat near the river holds a small lamp at noon. "
+    df = spark.createDataFrame([(k, prose * (1 + k % 3), f"l{k // 3}") for k in range(6000)], "doc bigint, body string, lang string").repartition(4)
+    assert stuffing.stuffed_pages(stuffing.block_report(df, "doc", "body", "lang", min_blocks=1)).count() == 0
+
+
 def test_stuffing_with_full_stops(spark):
     rng = random.Random(11)
     nouns, places = "cat dog bird horse mouse lamp tower river".split(), "kitchen garden market station".split()
