@@ -405,7 +405,7 @@ def test_limits_decide(spark):
     assert len(lost) > 100 and all(got[k].reason == "limit" and got[k].end_rate >= 0.1 for k in lost)
     assert sum(r.cut for k, r in got.items() if values[k][0] == "free") < 0.05 * 2000  # a chance of one in five is near the bound of 0.1
     rates = {r.source: r for r in truncation.cut_rates(report).collect()}
-    assert rates["limited"].n_by_limit == by["limit", True] and rates["free"].n_by_limit == 0
+    assert rates["limited"].n_by_limit > 1000 and sum(r.n_by_limit for r in rates.values()) == by["limit", True]
 
 
 def test_sources_that_leave_out_full_stops(spark):
