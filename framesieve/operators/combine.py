@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
+from ..session import stored
 from .folds import chained
 
 #: Distinct token sets of one block of the medoid.
@@ -40,46 +42,51 @@ def temporal(captions: DataFrame, key: str, order: str, text: str, threshold: fl
     return concatenated(without_repeats(captions, key, order, text, threshold), key, order, text)
 
 
-def _similarity_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums of similarities of the candidates of a block to its other sets, weighted by how often those occur."""
-    own, other = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-    vocabulary: dict[str, int] = {}
-    for tokens in pdf["tokens"]:
-        for t in tokens:
-            vocabulary.setdefault(t, len(vocabulary))
-
-    def matrix(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-        for k, tokens in enumerate(rows["tokens"]):
-            out[k, [vocabulary[t] for t in tokens]] = 1
-        return out
-
-    a, b = matrix(own), matrix(other)
-    both = (a @ b.T).astype(np.float64)
-    union = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - both
-    similar = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-    return pd.DataFrame({"key": own["key"], "set_no": own["set_no"], "score": similar @ other["n"].to_numpy(dtype=np.float64)})
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks of a key: the sums of similarities of the sets of one to those of the other, weighted by how often these occur."""
+    for batch in batches:
+        taken: list[int] = []
+        sums: list[np.ndarray] = []
+        for row, (own, other) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            vocabulary: dict[str, int] = {}
+            for one in (*own, *other):
+                for t in one["tokens"]:
+                    vocabulary.setdefault(t, len(vocabulary))
+
+            def matrix(sets: list[dict], words: dict[str, int] = vocabulary) -> np.ndarray:
+                out = np.zeros((len(sets), len(words)), dtype=np.float32)
+                for k, one in enumerate(sets):
+                    out[k, [words[t] for t in one["tokens"]]] = 1
+                return out
+
+            a, b = matrix(own), matrix(other)
+            both = (a @ b.T).astype(np.float64)
+            union = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - both
+            similar = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+            sums.append(similar @ np.array([x["n"] for x in other], dtype=np.float64))
+            taken += [row] * len(own)
+        flat = batch.column(1).flatten()
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), flat.field("set_no"), flat.field("n"), flat.field("first"), flat.field("text"), pc.greater(pc.list_value_length(flat.field("tokens")), 0), pa.array(np.concatenate([np.zeros(0), *sums]))], names=["key", "set_no", "n", "first", "text", "told", "score"])
 
 
 def medoid(captions: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, n_captions, caption): the caption whose tokens are on the whole most similar to all others of the key; the first on ties.
 
-    Captions with the same tokens are one set with a count. A key's sets are compared block by block in tasks of at
-    most 2 * BLOCK sets, so a key of any size is spread over tasks; a key with no more than BLOCK sets is one block. Sums are
+    Captions with the same tokens are one set with a count. A key's sets are laid into blocks of about BLOCK, and blocks are compared with blocks,
+    so a key of any size is spread over tasks; a key with no more than BLOCK sets is one block. Sums are
     rounded to 9 digits before ties are broken. Null captions are left out."""
     rows = captions.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(text).alias("text")).filter("key is not null and text is not null").withColumn("tokens", F.array_sort(token_set("text")))
-    sets = rows.groupBy("key", "tokens").agg(F.count("*").alias("n"), F.min_by("text", "order").alias("text"), F.min("order").alias("first"))
-    sizes = sets.groupBy("key").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_captions"))
+    sets = stored(rows.groupBy("key", "tokens").agg(F.count("*").alias("n"), F.min_by("text", "order").alias("text"), F.min("order").alias("first")), "sets")
     # The block of a set is a hash of its tokens; the number of blocks follows the size of the key.
-    placed = sets.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n_sets") / BLOCK).cast("int")).withColumn("set_no", F.xxhash64("tokens")).withColumn("block", F.pmod("set_no", F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against")
-    candidates = placed.select("key", "set_no", "tokens", "n", F.col("block").alias("row_block"), every, F.lit(0).alias("role")).withColumnRenamed("against", "column_block")
-    others = placed.select("key", "set_no", "tokens", "n", F.col("block").alias("column_block"), every, F.lit(1).alias("role")).withColumnRenamed("against", "row_block")
-    scored = candidates.unionByName(others).groupBy("key", "row_block", "column_block").applyInPandas(_similarity_block, f"key {rows.schema['key'].dataType.simpleString()}, set_no bigint, score double")
-    totals = scored.groupBy("key", "set_no").agg(F.sum("score").alias("score"))
+    sizes = sets.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = sets.join(sizes, "key").withColumn("set_no", F.xxhash64("tokens")).withColumn("block", F.pmod("set_no", F.col("blocks")))
+    blocks = stored(placed.groupBy("key", "block").agg(F.collect_list(F.struct("set_no", "tokens", "n", "first", "text")).alias("own")).drop("block"), "blocks")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "order")}
+    scored = blocks.join(blocks.withColumnRenamed("own", "other"), "key").mapInArrow(_similarities, f"key {kinds['key']}, set_no bigint, n bigint, first {kinds['order']}, text string, told boolean, score double")
+    totals = scored.groupBy("key", "set_no").agg(F.sum("score").alias("score"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("text").alias("text"), F.first("told").alias("told"))
     # A caption is not compared with itself: one similarity of 1, or of 0 for one without tokens.
-    own = F.when(F.size("tokens") > 0, 1.0).otherwise(0.0)
-    best = placed.join(totals, ["key", "set_no"]).groupBy("key").agg(F.min_by("text", F.struct(-F.round(F.col("score") - own, 9), F.col("first"))).alias("caption"), F.max("n_captions").alias("n_captions"))
+    place = F.struct(-F.round(F.col("score") - F.when(F.col("told"), 1.0).otherwise(0.0), 9), F.col("first"))
+    best = totals.groupBy("key").agg(F.min_by("text", place).alias("caption"), F.sum("n").alias("n_captions"))
     return best.select(F.col("key").alias(key), "n_captions", "caption")
 
 

@@ -69,8 +69,9 @@ def calls_saved(runs: DataFrame) -> DataFrame:
 
 
 def union_runs(parts: list[DataFrame]) -> DataFrame:
-    """All rows of all runs by column name, null where a run lacks a column; nothing is removed."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """All rows of all runs by column name, null where a run lacks a column; nothing is removed. NaN, which saved runs have for what is missing, is null."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes))
 
 
 def distinct_videos(runs: DataFrame) -> DataFrame:

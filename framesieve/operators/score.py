@@ -1,23 +1,31 @@
-"""Scores of captions against reference captions: corpus IDF, CIDEr, BLEU, ROUGE-L and an exact-word METEOR.
+"""Scores of captions against reference captions: corpus IDF, CIDEr, BLEU, ROUGE-L and METEOR by words and stems.
 
 Tables: references (id, ref_no, caption), hypotheses (id, caption), or (id, of, caption) if several share the references of one
-id: `of` is that id then, and scores are given by the hypothesis's own id. References are never copied for it. Everything but the longest common subsequence is
-joins and aggregations over n-grams."""
+id: `of` is that id then, and scores are given by the hypothesis's own id. References are never copied for it.
+
+No hypothesis is paired with each reference where that can be avoided. What CIDEr and BLEU need of the references of an id is a short list for
+each n-gram: how often a reference holds it, how long that reference is, and the sum of 1 / norm over all such references. Only the
+longest common subsequence, and words in order, are compared pair by pair; there, equal texts count once, and blocks of texts meet
+blocks, so an id of any size is spread over tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem
 from ..functions.text import NO_CAPTION, corpus_tokens, ngrams_to, or_placeholder, squeeze
+from ..session import stored
 
 #: Fixed values of the published metrics.
 ORDERS, SIGMA, ROUGE_BETA = 4, 6.0, 1.2
 TINY, SMALL = 1e-15, 1e-9
+#: Texts of one block of the pairwise comparison.
+BLOCK = 256
 
 
 def cleaned(references: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,26 +36,82 @@ def cleaned(references: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, Da
     return refs, hyps.join(refs.select(F.col("id").alias(of)).distinct(), of, "left_semi")
 
 
-def _paired(references: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """cleaned() as references (of, ref_no, caption) and hypotheses (id, of, caption)."""
-    refs, hyps = cleaned(references, hypotheses)
-    return refs.withColumnRenamed("id", "of"), hyps.select("id", F.col("of" if "of" in hyps.columns else "id").alias("of"), "caption")
+@dataclass
+class Texts:
+    """Tokens of both sides, stored: refs (no, of, tokens, m), equal texts of an id once with their number m, and hyps (id, of, tokens)."""
+
+    refs: DataFrame
+    hyps: DataFrame
+
+
+def prepared(references: DataFrame, hypotheses: DataFrame, normalise: bool = False) -> Texts:
+    """The texts of cleaned(), as tokens; lower-cased with normalise. Each table is read once for all scores."""
+    refs = squeeze("caption")
+    told = references.select(F.col("id").alias("of"), refs.alias("caption")).filter("caption <> '' and of is not null")
+    counted = told.select("of", corpus_tokens("caption", normalise).alias("tokens")).groupBy("of", "tokens").agg(F.count("*").alias("m"))
+    known = stored(counted.withColumn("no", F.monotonically_increasing_id()), "references")
+    of = "of" if "of" in hypotheses.columns else "id"
+    hyps = hypotheses.select("id", F.col(of).alias("of"), corpus_tokens(or_placeholder("caption", NO_CAPTION), normalise).alias("tokens"))
+    return Texts(known, stored(hyps.join(known.select("of").distinct(), "of", "left_semi"), "hypotheses"))
 
 
 def document_frequency(corpus: DataFrame, id_col: str = "id", text_col: str = "caption", most: int = ORDERS) -> DataFrame:
     """(n, gram, df, idf): in how many ids an n-gram occurs, and ln((ids + 1) / df). All captions of an id are one document."""
     rows = corpus.select(F.col(id_col).alias("id"), corpus_tokens(text_col).alias("tokens")).filter("id is not null and size(tokens) > 0")
-    grams = rows.select("id", F.explode(F.array_distinct(ngrams_to("tokens", most))).alias("g")).select("id", "g.n", "g.gram").distinct()
+    grams = rows.select("id", F.explode(ngrams_to("tokens", most)).alias("g")).select("id", "g.n", "g.gram").distinct()
     n_ids = rows.agg(F.count_distinct("id").alias("n_ids"))
     counted = grams.groupBy("n", "gram").agg(F.count("*").alias("df"))
     return counted.join(F.broadcast(n_ids)).select("n", "gram", "df", F.ln((F.col("n_ids") + 1) / F.col("df")).alias("idf"))  # one row
 
 
-def _grams(texts: DataFrame, keys: list[str], normalise: bool) -> DataFrame:
-    """(*keys, n, gram, tf, words)."""
-    tokens = texts.select(*keys, corpus_tokens("caption", lower=normalise).alias("tokens"))
-    each = tokens.select(*keys, F.size("tokens").alias("words"), F.explode(ngrams_to("tokens")).alias("g"))
-    return each.groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("tf"), F.first("words").alias("words"))
+def _overlaps(texts: Texts, idf: DataFrame | None) -> DataFrame:
+    """(id, total, c1 to c4) of hypotheses that share an n-gram with a reference: the sum of similarities of CIDEr (null without idf), and clipped counts."""
+    h = texts.hyps.select(F.lit(True).alias("own"), F.col("id").cast("string").alias("key"), "of", F.lit(1).cast("bigint").alias("m"), "tokens")
+    r = texts.refs.select(F.lit(False).alias("own"), F.col("no").cast("string").alias("key"), "of", "m", "tokens")
+    each = h.unionByName(r).select("own", "key", "of", "m", F.size("tokens").alias("words"), F.explode(ngrams_to("tokens")).alias("g"))
+    grams = each.groupBy("own", "key", "of", "m", "words", "g.n", "g.gram").agg(F.count("*").alias("tf"))
+    if idf is None:
+        grams = grams.withColumn("idf", F.lit(0.0))
+    else:
+        grams = grams.join(idf.select("n", "gram", "idf"), ["n", "gram"], "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    listed = grams.groupBy("own", "key", "of", "m", "words").agg(F.collect_list(F.struct("n", "gram", "tf", "idf")).alias("grams"))  # of one text
+
+    def squares(n: int) -> Column:
+        return F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.when(g["n"] == n, g["tf"] * g["idf"] * g["tf"] * g["idf"]).otherwise(0.0))
+
+    norms = F.array(*(F.sqrt(squares(n)) for n in range(1, ORDERS + 1)))
+    packed = stored(listed.withColumn("norms", norms), "grams")
+    each = packed.select("own", "key", "of", "m", "words", "norms", F.explode("grams").alias("g")).select("own", "key", "of", "m", "words", "g.*", F.col("norms")[F.col("g.n") - 1].alias("norm"))
+    inverse = F.when(F.col("norm") > 0, F.col("m") / F.col("norm")).otherwise(0.0)
+    entries = each.filter("not own").groupBy("of", "n", "gram", "tf", "words").agg(F.sum(inverse).alias("inverse"))
+    known = entries.groupBy("of", "n", "gram").agg(F.collect_list(F.struct("tf", "words", "inverse")).alias("entries"), F.max("tf").alias("most"))  # by counts and lengths, not by references
+    met = each.filter("own").join(known, ["of", "n", "gram"])
+
+    def bigrams(words: Column) -> Column:
+        return F.greatest(words - 1, F.lit(0))
+
+    def add(total: Column, e: Column) -> Column:
+        apart = (bigrams(F.col("words")) - bigrams(e["words"])).cast("double")
+        return total + F.least(F.col("tf"), e["tf"]) * e["tf"] * e["inverse"] * F.exp(-(apart * apart) / (2 * SIGMA * SIGMA))
+
+    similar = F.when(F.col("norm") > 0, F.aggregate("entries", F.lit(0.0), add) * F.col("idf") * F.col("idf") / F.col("norm")) if idf is not None else F.lit(None).cast("double")
+    clipped = F.least("tf", "most")
+    rows = met.select(F.col("key").cast(texts.hyps.schema["id"].dataType).alias("id"), "n", similar.alias("similar"), clipped.alias("clipped"))
+    return rows.groupBy("id").agg(F.sum("similar").alias("total"), *(F.sum(F.when(F.col("n") == n, F.col("clipped")).otherwise(0)).alias(f"c{n}") for n in range(1, ORDERS + 1)))
+
+
+def _gram_scores(texts: Texts, idf: DataFrame | None) -> DataFrame:
+    """(id, cider, bleu1 to bleu4) of each hypothesis."""
+    lengths = texts.refs.groupBy("of").agg(F.sum("m").alias("n_refs"), F.collect_set(F.size("tokens")).alias("lengths"))  # different lengths only
+    t = F.size("tokens")
+    closest = F.array_min(F.transform("lengths", lambda n: F.struct(F.abs(n - F.col("t")).alias("d"), n.alias("n"))))["n"]
+    base = texts.hyps.select("id", "of", t.alias("t")).join(lengths, "of").select("id", "t", "n_refs", closest.alias("l"))
+    rows = base.join(_overlaps(texts, idf), "id", "left").fillna(0, [f"c{n}" for n in range(1, ORDERS + 1)])
+    ratio = (F.col("t") + TINY) / (F.col("l") + SMALL)
+    penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
+    logs = [F.ln((F.col(f"c{n}") + TINY) / (F.greatest(F.col("t") - n + 1, F.lit(0)) + SMALL)) for n in range(1, ORDERS + 1)]
+    bleus = [(F.exp(sum(logs[:n], F.lit(0.0)) / n) * penalty).alias(f"bleu{n}") for n in range(1, ORDERS + 1)]
+    return rows.select("id", F.coalesce(F.col("total") / ORDERS / F.col("n_refs") * 10, F.lit(0.0)).alias("cider"), *bleus)
 
 
 def cider(references: DataFrame, hypotheses: DataFrame, idf: DataFrame, normalise: bool = False) -> DataFrame:
@@ -55,107 +119,114 @@ def cider(references: DataFrame, hypotheses: DataFrame, idf: DataFrame, normalis
 
     The length of a text is its number of bigrams. An n-gram the corpus lacks weighs 0. Unless normalise, texts are taken as
     they are although the corpus is lower-cased. Ids without reference are left out."""
-    refs, hyps = _paired(references, hypotheses)
-    h, r = _grams(hyps, ["id", "of"], normalise), _grams(refs, ["of", "ref_no"], normalise)
-    r = r.join(hyps.select("of").distinct(), "of", "left_semi")
-    needed = idf.join(h.select("n", "gram").unionAll(r.select("n", "gram")).distinct(), ["n", "gram"], "left_semi").select("n", "gram", "idf")
-
-    def weighted(grams: DataFrame) -> DataFrame:
-        return grams.join(needed, ["n", "gram"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(0.0))).drop("idf", "tf")
-
-    hw, rw = weighted(h), weighted(r)
-    hn = hw.groupBy("id", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"), F.first("words").alias("h_words"))
-    rn = rw.groupBy("of", "ref_no", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("r_norm"), F.first("words").alias("r_words"))
-    met = hw.select("id", "of", "n", "gram", F.col("w").alias("hw")).join(rw.select("of", "ref_no", "n", "gram", F.col("w").alias("rw")), ["of", "n", "gram"])
-    shared = met.groupBy("id", "of", "ref_no", "n").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("shared"))
-
-    def bigrams(words: str) -> Column:
-        return F.greatest(F.col(words) - 1, F.lit(0))
-
-    both = shared.join(hn, ["id", "n"]).join(rn, ["of", "ref_no", "n"]).filter("h_norm > 0 and r_norm > 0")
-    apart = bigrams("h_words") - bigrams("r_words")
-    sim = F.col("shared") / (F.col("h_norm") * F.col("r_norm")) * F.exp(-(apart * apart) / (2 * SIGMA * SIGMA))
-    total = both.groupBy("id").agg(F.sum(sim).alias("total"))
-    n_refs = refs.groupBy("of").agg(F.count("*").alias("n_refs"))
-    return hyps.select("id", "of").join(n_refs, "of").join(total, "id", "left").select("id", F.coalesce(F.col("total") / ORDERS / F.col("n_refs") * 10, F.lit(0.0)).alias("cider"))
+    return _gram_scores(prepared(references, hypotheses, normalise), idf).select("id", "cider")
 
 
 def bleu(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """(id, bleu1, bleu2, bleu3, bleu4) of single texts: clipped precision with tiny constants against zero, and the brevity penalty
     for the closest reference length, the shorter one on ties."""
-    refs, hyps = _paired(references, hypotheses)
-    h, r = _grams(hyps, ["id", "of"], False), _grams(refs, ["of", "ref_no"], False)
-    clip = r.groupBy("of", "n", "gram").agg(F.max("tf").alias("most"))
-    right = h.join(clip, ["of", "n", "gram"]).groupBy("id", "n").agg(F.sum(F.least("tf", "most")).alias("c"))
-    wide = right.groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("c"))), F.lit(0)).alias(f"c{n}") for n in range(1, ORDERS + 1)))
-    words = hyps.select("id", "of", F.size(corpus_tokens("caption", False)).alias("t"))
-    lengths = refs.select("of", F.size(corpus_tokens("caption", False)).alias("l")).join(words, "of")
-    closest = lengths.groupBy("id").agg(F.min(F.struct(F.abs(F.col("l") - F.col("t")), F.col("l"))).alias("best")).select("id", F.col("best.l").alias("l"))
-    base = words.join(closest, "id").join(wide, "id", "left").fillna(0, [f"c{n}" for n in range(1, ORDERS + 1)])
-    ratio = (F.col("t") + TINY) / (F.col("l") + SMALL)
-    penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
-    logs = [F.ln((F.col(f"c{n}") + TINY) / (F.greatest(F.col("t") - n + 1, F.lit(0)) + SMALL)) for n in range(1, ORDERS + 1)]
-    return base.select("id", *((F.exp(sum(logs[:n], F.lit(0.0)) / n) * penalty).alias(f"bleu{n}") for n in range(1, ORDERS + 1)))
+    return _gram_scores(prepared(references, hypotheses), None).drop("cider")
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    index: dict[str, int] = {}
-    x = np.array([index.setdefault(w, len(index)) for w in a], dtype=np.int64)
-    y = np.array([index.setdefault(w, len(index)) for w in b], dtype=np.int64)
-    row = np.zeros(len(y) + 1, dtype=np.int64)
-    for token in x:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == token, row[:-1] + 1, 0)))
-    return int(row[-1])
+def places(words: list[str]) -> dict[str, int]:
+    """The places of each word, as bits."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
 
 
-def _matches(h: list[str], r: list[str]) -> tuple[int, int]:
-    """Words of h found in r, each word of r once, and the number of runs in which they lie."""
-    places: dict[str, list[int]] = {}
-    for k, w in enumerate(r):
-        places.setdefault(w, []).append(k)
+def lcs_length(a: list[str], b: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a and a text of `size` words given by its places(): a row of the table is a number, whose
+    zero bits are the steps of the row."""
+    full = (1 << size) - 1
+    row = full
+    for w in a:
+        if hit := row & b.get(w, 0):
+            row = (row + hit | row - hit) & full
+    return size - row.bit_count()
+
+
+def _matches(h: list[str], r: dict[str, int]) -> tuple[int, int]:
+    """Words of h found in the text of places() r, each word of it once, and the number of runs in which they lie. A word goes on a run if it can,
+    else it takes its first free place."""
+    free = dict(r)
     last, runs, found = -2, 0, 0
     for w in h:
-        own = places.get(w)
+        own = free.get(w, 0)
         if not own:
             last = -2
             continue
-        at = last + 1 if last + 1 in own else own[0]
-        own.remove(at)
+        at = last + 1 if last >= -1 and own >> last + 1 & 1 else (own & -own).bit_length() - 1
+        free[w] = own & ~(1 << at)
         runs += at != last + 1
         last, found = at, found + 1
     return found, runs
 
 
-def _pair_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for h, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            common = lcs_length(h, r)
-            m, runs = _matches(h, r)
-            p, q = m / max(1, len(h)), m / max(1, len(r))
-            f = 10 * p * q / (q + 9 * p) if m else 0.0
-            rows.append((common / max(1, len(h)), common / max(1, len(r)), f * (1 - 0.5 * (runs / m) ** 3) if m else 0.0))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.float64()) for c in columns)], names=["id", "precision", "recall", "meteor"])
-
-
-def rouge_meteor(references: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """(id, rouge_l, meteor): ROUGE-L from the best precision and the best recall over references, and an approximation of METEOR
-    by exact words only (no stems, synonyms or paraphrases), the best over references."""
-    refs, hyps = _paired(references, hypotheses)
-    pairs = hyps.select("id", "of", corpus_tokens("caption", False).alias("h")).join(refs.select("of", corpus_tokens("caption", False).alias("r")), "of")
-    kind = pairs.schema["id"].dataType.simpleString()
-    scored = pairs.select("id", "h", "r").mapInArrow(_pair_scores, f"id {kind}, precision double, recall double, meteor double")
+def meteor(found: int, runs: int, h: int, r: int) -> float:
+    """Harmonic mean of precision and recall, which counts nine times, less up to a half for matches that are scattered."""
+    if not found:
+        return 0.0
+    p, q = found / h, found / r
+    return 10 * p * q / (q + 9 * p) * (1 - 0.5 * (runs / found) ** 3)
+
+
+def _pair_scores(stems: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, best = [], []
+            for hyps, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [(places(r), len(r)) for r in refs]
+                stemmed = [places([stem(w) for w in r]) for r in refs] if stems else [p for p, _ in own]
+                seen: dict[tuple, tuple] = {}
+                for h in hyps:
+                    words = h["tokens"]
+                    if (key := tuple(words)) not in seen:
+                        short = [stem(w) for w in words] if stems else words
+                        common = [(lcs_length(words, p, n), n) for p, n in own]
+                        seen[key] = (
+                            max(c for c, _ in common) / max(1, len(words)),
+                            max(c / max(1, n) for c, n in common),
+                            max(meteor(*_matches(short, p), len(words), n) for p, (_, n) in zip(stemmed, own, strict=True)),
+                        )
+                    ids.append(h["id"])
+                    best.append(seen[key])
+            columns = list(zip(*best, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type.value_type.field("id").type), *(pa.array(list(c), pa.float64()) for c in columns)], names=["id", "precision", "recall", "meteor"])
+
+    return run
+
+
+def _blocks(texts: DataFrame, what: Column, name: str) -> DataFrame:
+    """(of, name): the texts of each id in lists of about BLOCK."""
+    sizes = texts.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = texts.join(sizes, "of").withColumn("block", F.pmod(F.xxhash64("tokens"), F.col("blocks")))
+    return placed.groupBy("of", "block").agg(F.collect_list(what).alias(name)).drop("block")
+
+
+def _pairs(texts: Texts, stems: bool) -> DataFrame:
+    """(id, rouge_l, meteor) of each hypothesis."""
+    hyps = _blocks(texts.hyps, F.struct("id", "tokens"), "hyps")
+    refs = _blocks(texts.refs, F.col("tokens"), "refs")
+    kind = texts.hyps.schema["id"].dataType.simpleString()
+    scored = hyps.join(refs, "of").select("hyps", "refs").mapInArrow(_pair_scores(stems), f"id {kind}, precision double, recall double, meteor double")
     best = scored.groupBy("id").agg(F.max("precision").alias("p"), F.max("recall").alias("r"), F.max("meteor").alias("meteor"))
     b2 = ROUGE_BETA**2
     f = F.when((F.col("p") > 0) & (F.col("r") > 0), (1 + b2) * F.col("p") * F.col("r") / (F.col("r") + b2 * F.col("p"))).otherwise(0.0)
     return best.select("id", f.alias("rouge_l"), "meteor")
 
 
-def all_metrics(references: DataFrame, hypotheses: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, cider, bleu1, bleu4, rouge_l, meteor), joined by id."""
-    return cider(references, hypotheses, idf).join(bleu(references, hypotheses).select("id", "bleu1", "bleu4"), "id").join(rouge_meteor(references, hypotheses), "id")
+def rouge_meteor(references: DataFrame, hypotheses: DataFrame, stems: bool = False) -> DataFrame:
+    """(id, rouge_l, meteor): ROUGE-L from the best precision and the best recall over references, and METEOR by equal words, or
+    with `stems` by words of equal stem (no synonyms or paraphrases), the best over references."""
+    return _pairs(prepared(references, hypotheses), stems)
+
+
+def all_metrics(references: DataFrame, hypotheses: DataFrame, idf: DataFrame, stems: bool = False) -> DataFrame:
+    """(id, cider, bleu1, bleu4, rouge_l, meteor), from one set of prepared texts."""
+    texts = prepared(references, hypotheses)
+    return _gram_scores(texts, idf).select("id", "cider", "bleu1", "bleu4").join(_pairs(texts, stems), "id")
 
 
 def input_diagnostics(references: DataFrame, hypotheses: DataFrame, few: int = 50) -> DataFrame:

@@ -11,8 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import stored
+from . import order
+
 KEYS = ["sampling_method", "aggregation_method", "caption_mode"]
-METRICS = ["processing_time_s", "peak_vram_mb", "peak_ram_delta_mb", "gpu_utilization_pct", "cider", "bleu1", "bleu4", "rouge_l", "meteor", "frames_selected", "semantic_yield"]
+#: The metrics of the statistics, in the order of their columns; parts of names by which a metric is known to lie in [0, 1], or not below 0.
+METRICS = ["frames_selected", "semantic_yield", "processing_time_s", "peak_vram_mb", "peak_ram_delta_mb", "gpu_utilization_pct", "cider", "bleu1", "bleu4", "rouge_l", "meteor"]
+SHARES_OF_ONE = ("bleu1", "bleu4", "rouge_l", "meteor")
+NOT_NEGATIVE = ("cider", "processing_time", "vram", "ram", "util")
 #: Metrics that are drawn as bars, and the order of methods in figures.
 BAR_METRICS = ["cider", "bleu4", "processing_time_s", "peak_vram_mb", "peak_ram_delta_mb", "frames_selected", "semantic_yield"]
 METHOD_ORDER = {"fps1": 0, "fps2": 1, "random": 2, "phash": 3, "tass_fixed": 4, "tass_adaptive": 5}
@@ -66,29 +72,36 @@ def value(c: str) -> Column:
 
 def clamped(metric: str, x: Column) -> Column:
     """Bounds that a mean of this metric can't leave, told by parts of its name; `ram` is part of frames_selected too."""
-    if any(part in metric for part in ("bleu1", "bleu4", "rouge_l", "meteor")):
+    if any(part in metric for part in SHARES_OF_ONE):
         return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    if any(part in metric for part in ("cider", "processing_time", "vram", "ram", "util")):
+    if any(part in metric for part in NOT_NEGATIVE):
         return F.greatest(F.lit(0.0), x)
     return x
 
 
-def grouped_statistics(runs: DataFrame, keys: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
+def grouped_statistics(runs: DataFrame, keys: list[str] | None = None, metrics: list[str] | None = None, medians: bool = True) -> DataFrame:
     """keys, count, and of each metric mean, median, std, min, max and the 95 % interval of the mean.
 
     Rows with a null key are left out, metrics that runs lacks are skipped, null and NaN are no values. std of a single
-    value is 0.0; the interval is then the mean itself, and not clamped. Everything comes from one aggregation."""
+    value is 0.0; the interval is then the mean itself, and not clamped. All but the medians come from one aggregation; medians are exact, from
+    range-partitioned counts of values, so that no group is held by a task. Without `medians` there is no such column."""
     keys, present = keys or KEYS, [m for m in (metrics or METRICS) if m in runs.columns]
     valued = runs.select(*keys, *(value(m).alias(m) for m in present)).dropna(subset=keys)
-    parts = [f(F.col(m)).alias(f"{m}_{name}") for m in present for name, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    if medians:
+        valued = stored(valued, "valued")
+    parts = [f(F.col(m)).alias(f"{m}_{name}") for m in present for name, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
     # Groups are few (configurations), so quantiles of t are asked for after the aggregation.
     found = valued.groupBy(*keys).agg(F.count("*").alias("count"), *parts)
+    if medians:
+        long = valued.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in present))).alias("v")).select(*keys, "v.metric", "v.x")
+        middle = order.percentiles(long, [*keys, "metric"], "x", [0.5]).groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == m, F.col("values")[0])).alias(f"{m}_median") for m in present))
+        found = found.join(middle, keys, "left")
     out = [*keys, "count"]
     for m in present:
         n, mean, std = F.col(f"{m}_n"), F.col(f"{m}_mean"), F.coalesce(f"{m}_std", F.when(F.col(f"{m}_n") > 0, 0.0))
         half = _t_of(n - 1) * std / F.sqrt(n)
         plain = (n < 2) | (std == 0)
-        out += [f"{m}_mean", f"{m}_median", std.alias(f"{m}_std"), f"{m}_min", f"{m}_max"]
+        out += [f"{m}_mean", *([f"{m}_median"] if medians else []), std.alias(f"{m}_std"), f"{m}_min", f"{m}_max"]
         out += [F.when(plain, mean).otherwise(clamped(m, mean - half)).alias(f"{m}_ci95_lower"), F.when(plain, mean).otherwise(clamped(m, mean + half)).alias(f"{m}_ci95_upper")]
     return found.select(*out)
 
@@ -110,14 +123,11 @@ def best_of(statistics: DataFrame, metric: str, largest: bool = True, keys: list
 
 
 def highlights(statistics: DataFrame) -> DataFrame:
-    """(role, keys, value): best quality, fastest, least video memory and least memory."""
-    ranking = ranking_metric(statistics)
-    wanted = [("best", ranking, True), ("fastest", "processing_time_s_mean", False), ("least_vram", "peak_vram_mb_mean", False), ("least_ram", "peak_ram_delta_mb_mean", False)]
-    rows = [best_of(statistics, m, up).select(F.lit(role).alias("role"), *KEYS, F.col(m).alias("value")) for role, m, up in wanted]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """(role, keys, value): best quality, fastest, least video memory and least memory. The means are stored once, and one aggregation finds all four."""
+    means = stored(statistics.select(*KEYS, *(c for c in statistics.columns if c.endswith("_mean"))), "means")
+    wanted = [("best", ranking_metric(means), -1), ("fastest", "processing_time_s_mean", 1), ("least_vram", "peak_vram_mb_mean", 1), ("least_ram", "peak_ram_delta_mb_mean", 1)]
+    first = [F.min_by(F.struct(F.lit(role).alias("role"), *KEYS, F.col(m).alias("value")), F.struct(F.col(m).isNull(), F.col(m) * sign, *KEYS)).alias(role) for role, m, sign in wanted]
+    return means.agg(*first).select(F.explode(F.array(*(role for role, _, _ in wanted))).alias("top")).filter("top is not null").select("top.*")
 
 
 def plot_means(runs: DataFrame) -> DataFrame:
@@ -168,10 +178,9 @@ def bootstrap_means(runs: DataFrame, metric: str, keys: list[str] | None = None,
 
 
 def quartiles(df: DataFrame, key: str, x: str) -> DataFrame:
-    """(key, n, min, q1, median, q3, max), interpolated."""
-    valued = df.select(F.col(key), value(x).alias("x")).filter("x is not null")
-    q = valued.groupBy(key).agg(F.count("*").alias("n"), F.percentile("x", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return q.select(key, "n", *(F.col("q")[k].alias(name) for k, name in enumerate(("min", "q1", "median", "q3", "max"))))
+    """(key, n, min, q1, median, q3, max), exact, interpolated."""
+    q = order.percentiles(df.select(F.col(key), value(x).alias("x")), [key], "x", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return q.select(key, "n", *(F.col("values")[k].alias(name) for k, name in enumerate(("min", "q1", "median", "q3", "max"))))
 
 
 def method_place(c: str) -> Column:

@@ -67,7 +67,7 @@ def test_interval(spark, fps, every):
 
 def test_random_uniform_budget(spark):
     videos = spark.createDataFrame([("a", 10.0, 95), ("b", 0.0, 61), ("c", 10.0, 0), ("d", 0.5, 3)], "video_id string, fps double, total_frames bigint")
-    counts = {r.video_id: r["count"] for r in select.random_sample(select.frames_of(videos)).groupBy("video_id").count().collect()}
+    counts = {r.video_id: r["count"] for r in select.random_sample(videos).groupBy("video_id").count().collect()}
     assert counts == {"a": 10, "b": 3, "d": 3}
     assert sorted(r.frame_idx for r in select.mersenne_sample(videos).filter("video_id = 'a'").collect()) == sorted(random.Random(42).sample(range(95), 10))
     assert [r.frame_idx for r in select.uniform_indices(videos.filter("video_id = 'd'"), 5).orderBy("place").collect()] == [0, 0, 1, 1, 2]
@@ -205,9 +205,9 @@ def test_lcs_and_meteor():
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        assert score.lcs_length(a, b) == t[-1][-1]
-    assert score._matches("the cat sat".split(), "the cat sat".split()) == (3, 1)
-    assert score._matches("a b c".split(), "c b a".split()) == (3, 3) and score._matches(["x"], ["y"]) == (0, 0)
+        assert score.lcs_length(a, score.places(b), len(b)) == t[-1][-1]
+    for h, r, want in (("the cat sat", "the cat sat", (3, 1)), ("a b c", "c b a", (3, 3)), ("x", "y", (0, 0)), ("a b x b c", "b c a b", (4, 3))):
+        assert score._matches(h.split(), score.places(r.split())) == want
 
 
 def test_scores(spark):

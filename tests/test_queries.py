@@ -12,7 +12,7 @@ from framesieve.streaming import selectors
 
 def cell(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else float(f"{x:.8g}")
+        return "NaN" if math.isnan(x) else float(f"{x:.8g}")
     return x
 
 
@@ -36,7 +36,7 @@ def test_query(spark, data, con, name):
         assert got
 
 
-@pytest.mark.parametrize("name", ["cider_each", "bleu_each", "rouge_l_each", "rouge_meteor", "all_metrics", "refs_semi_join_each"])
+@pytest.mark.parametrize("name", ["cider_each", "bleu_each", "rouge_l_each", "rouge_meteor", "rouge_meteor_stems", "all_metrics", "refs_semi_join_each"])
 def test_every_row_is_scored(spark, data, con, name):
     rows = con.sql("SELECT row_id FROM baseline_results WHERE video_id IN (SELECT min(video_id) FROM sentences WHERE sen_id IS NOT NULL GROUP BY sen_id HAVING trim(min(caption)) <> '')").fetchall()
     assert sorted(r.id for r in catalog.QUERIES[name](spark, data).collect()) == sorted(r for (r,) in rows)
