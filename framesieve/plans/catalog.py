@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text, vector
+from ..functions import image, text, vector
 from ..operators import combine, runs, score, select, stats
 from ..streaming import selectors
+from . import benchmark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -569,6 +570,67 @@ def method_order(spark, d):
     return _read(spark, d, "results").filter("sampling_method is not null").select("sampling_method").distinct().withColumn("place", stats.method_place("sampling_method")).orderBy("place", "sampling_method")
 
 
+# --- entry points
+
+_COMBINED = _STATS.replace(_LAST, "RUNS AS (SELECT * FROM results UNION ALL BY NAME SELECT * FROM baseline_results)")
+
+
+@query(f"WITH {_COMBINED} SELECT {_KEYS}, count(*) AS count, {_FIVE} FROM v GROUP BY {_KEYS}")
+def combined_statistics(spark, d):
+    """Statistics of both kinds of saved runs together, deliveries as they come."""
+    _, out, _ = benchmark.combine_runs([_read(spark, d, "results"), _read(spark, d, "baseline_results")])
+    return _rounded(out.drop(*(c for c in out.columns if "_ci95_" in c)))
+
+
+def _pictures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as grey frames of 8 x 8 pixels, a video a label, in the order of their ids; and these videos, of 25 frames a second."""
+    order = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
+    pixels = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round(128 + x * 400).cast("int"))))
+    data = F.unhex(F.array_join(F.transform(pixels, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    rows = _read(spark, d, "embeddings").select(F.concat(F.lit("video"), "label").alias("video_id"), order.cast("bigint").alias("frame_idx"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
+    return rows, rows.groupBy("video_id").agg(F.lit(25.0).alias("fps"), F.count("*").alias("total_frames"))
+
+
+def _caption_by_light() -> Callable[[list], list]:
+    """A stand-in for a caption model: tells how light a frame is."""
+    return lambda frames: [f"a {('dark', 'dim', 'light', 'bright')[min(3, sum(x) // 64 // 64)]} frame with a person in it" for x in frames]
+
+
+def _answer_in_short() -> Callable[[list], list]:
+    return lambda prompts: [" ".join(p.partition("Visual Summary: ")[2].split()[:8]) for p in prompts]
+
+
+def _told_frames() -> Callable[[list], str]:
+    return lambda images: f"a person in {len(images)} frames"
+
+
+def _own_references(spark: SparkSession, d: str) -> DataFrame:
+    return _references(spark, d).filter("video_id is not null and caption is not null").select("video_id", F.col("sen_id").alias("ref_no"), "caption")
+
+
+@query()
+def benchmark_rows(spark, d):
+    """run() over frames made of embeddings, with stand-ins for models; without the times, which differ from run to run."""
+    frames, videos = _pictures(spark, d)
+    models = benchmark.Models(_caption_by_light, _answer_in_short, embed=lambda pool: pool.withColumn("embedding", F.array(F.cos(F.col("frame_idx") / 9), F.sin(F.col("frame_idx") / 9))))
+    done = benchmark.run(videos, frames, _own_references(spark, d), models, ["fps1", "fps2", "random", "phash", "tass_fixed", "tass_adaptive"], ["raw", "temporal", "centroid"], ["vlm_only", "vlm_plus_llm"])
+    return _six(done.rows.drop("processing_time_s"))
+
+
+@query()
+def baseline_run(spark, d):
+    """baseline() over the same frames, with a stand-in for the model."""
+    frames, videos = _pictures(spark, d)
+    rows, _, _ = benchmark.baseline(videos, frames, _own_references(spark, d), _told_frames)
+    return _six(rows.drop("processing_time_s"))
+
+
+@query()
+def frame_measures(spark, d):
+    """Grey level, its variance, that of its Laplacian, and the perceptual hash of the same frames."""
+    return _six(image.measured_frames(_pictures(spark, d)[0]))
+
+
 # --- event time, an extension
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from ..schema import BASELINE, FRAME_SELECTION, RESULTS
 
 #: Field names by which datasets give video ids and captions.
-ID_FIELDS = ("video_id", "video", "id", "videoid", "clip_id")
-CAPTION_FIELDS = ("caption", "captions", "text", "sentence", "description")
+ID_FIELDS = ("video_id", "id", "vid_id")
+CAPTION_FIELDS = ("caption", "text", "description", "sentence")
+#: Further names that other datasets use; they count only where none of the above is there.
+MORE_ID_FIELDS = ("video", "videoid", "clip_id")
+MORE_CAPTION_FIELDS = ("captions",)
 
 
 def dataset_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -31,10 +34,10 @@ def shuffled(videos: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def detect_fields(columns: list[str]) -> tuple[str, str]:
-    """The id and the caption column: the first in the table's own order that has a known name."""
+    """The id and the caption column: the first in the table's own order that has a known name, else the first with one of the further names."""
     found = []
-    for kind, known in (("id", ID_FIELDS), ("caption", CAPTION_FIELDS)):
-        name = next((c for c in columns if c.lower() in known), None)
+    for kind, known, more in (("id", ID_FIELDS, MORE_ID_FIELDS), ("caption", CAPTION_FIELDS, MORE_CAPTION_FIELDS)):
+        name = next((c for names in (known, more) for c in columns if c.lower() in names), None)
         if name is None:
             raise ValueError(f"no {kind} column among {columns}")
         found.append(name)

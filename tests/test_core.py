@@ -206,7 +206,7 @@ def test_lcs_and_meteor():
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         assert score.lcs_length(a, score.places(b), len(b)) == t[-1][-1]
-    for h, r, want in (("the cat sat", "the cat sat", (3, 1)), ("a b c", "c b a", (3, 3)), ("x", "y", (0, 0)), ("a b x b c", "b c a b", (4, 3))):
+    for h, r, want in (("the cat sat", "the cat sat", (3, 1)), ("a b c", "c b a", (3, 3)), ("x", "y", (0, 0)), ("a b x b c", "b c a b", (4, 2))):
         assert score._matches(h.split(), score.places(r.split())) == want
 
 
@@ -315,31 +315,134 @@ def test_caption_stage(spark):
     clips = spark.createDataFrame([("v", "a"), ("w", "silent"), ("x", "broken")], "video_id string, video_path string")
     out, keep = infer.transcribed(clips, lambda: lambda p: {"a": ("hi", True, 2.0, 0.1), "silent": ("", False, 0.0, 1.0)}[p])
     assert rows(out, "video_id", "transcript", "audio_present", "audio_duration") == [("v", "hi", True, 2.0), ("w", "", False, 0.0), ("x", "", True, 0.0)] and keep.count() == 2
-    unit = infer.embedded(frames_, lambda: lambda batch: np.ones((len(batch), 4)))
-    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in unit.collect())
+    unit = infer.embedded(frames_, lambda: lambda batch: np.ones((len(batch), 4)), prepare=str)
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 and r.error is None for r in unit.collect())
 
+    def some_fail(batch):
+        if "pic2" in batch:
+            raise ValueError("bad")
+        return [[0.0, 0.0] if x == "pic1" else [3.0, 4.0] for x in batch]
+
+    mixed = {r.frame_idx: r for r in infer.embedded(frames_, lambda: some_fail).collect()}
+    assert len(mixed) == 6 and mixed[1].embedding is None and mixed[1].error and "bad" in mixed[2].error and mixed[0].error is None and mixed[3].embedding
+
+
+def _factory(word):
+    return lambda: lambda batch: [word for _ in batch]
+
+
+def test_models_are_told_apart(spark):
+    """Loaders of one factory load different models; a name shares a model, another name does not."""
+    one = spark.createDataFrame([("x",)], "t string").coalesce(1)
+    for word in ("A", "B", "C", "A"):
+        assert infer.captioned(one, "t", _factory(word)).first().caption == word
+    named = [infer.captioned(one, "t", _factory(w), model=n).first().caption for w, n in (("A", "m@1"), ("B", "m@2"))]
+    assert named == ["A", "B"]
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    """What is cached is what was made, though the model never says the same twice."""
+    work = spark.createDataFrame([("v", k) for k in range(8)], "video_id string, frame_idx bigint")
+    cache = work.limit(0).withColumn("caption", F.lit(""))
+
+    def compute(todo):
+        return infer.captioned(todo.withColumn("x", F.col("frame_idx").cast("string")), "x", lambda: lambda batch: [str(random.random()) for _ in batch])
+
+    every, new = infer.cached_captions(work, cache, ["video_id", "frame_idx"], compute)
+    assert rows(every) == rows(new) == rows(every) and new.count() == 8
+
+
+def test_lost_models(spark):
+    """After a model is lost no further call is made; what was made stays."""
+    df = spark.createDataFrame([(k, str(k)) for k in range(12)], "k int, t string").coalesce(1)
+
+    def load():
+        calls = []
 
-def test_benchmark_chain(spark):
-    """Frames to statistics with stand-in models."""
+        def model(batch):
+            calls.append(batch)
+            if len(calls) > 2:
+                raise infer.ModelLost("device")
+            return [x + "!" for x in batch]
+
+        return model
+
+    got = {r.k: r for r in infer.captioned(df, "t", load, batch=3).collect()}
+    assert [got[k].caption for k in range(6)] == [f"{k}!" for k in range(6)] and all(got[k].error.startswith(infer.LOST) for k in range(6, 12)) and all(r.seconds >= 0 for r in got.values())
+
+
+def test_encoded_frames(spark):
+    import base64
+    import zlib
+
+    clip = frame_rows(spark, {"v": noise(1, 0, 32, 24)}).unionByName(frame_rows(spark, {"w": noise(1, 1, 32, 24)}).withColumn("data", F.lit(None).cast("binary")))
+    got = {r.video_id: r.image for r in infer.encoded_frames(clip, size=16).collect()}
+    assert got["w"] is None
+    raw = base64.b64decode(got["v"])
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and raw[16:24] == bytes([0, 0, 0, 16] * 2)
+    size = int.from_bytes(raw[33:37], "big")
+    pixels = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(16, 49)[:, 1:].reshape(16, 16, 3)[:, :, ::-1]
+    assert (pixels == image.shrink(noise(1, 0, 32, 24)[0], 16, 16)).all()
+    own = infer.encoded_frames(clip, lambda x: x.tobytes(), 4)
+    assert base64.b64decode(own.filter("video_id = 'v'").first().image) == image.shrink(noise(1, 0, 32, 24)[0], 4, 4).tobytes()
+
+
+def test_benchmark_run(spark, tmp_path):
+    """Frames to report with stand-in models, and what is written."""
     clips = frame_rows(spark, {v: noise(8, k * 10, 32, 24) for k, v in enumerate(("v", "w"))})
-    videos = spark.createDataFrame([("v", 4.0), ("w", 4.0)], "video_id string, fps double")
-    chosen = select.interval_sample(clips.join(videos, "video_id")).select("video_id", "frame_idx", F.lit("fps1").alias("sampling_method"))
-    models = benchmark.Models(lambda: lambda batch: [f"a cat {len(x) % 7}" for x in batch], lambda: lambda batch: ["a cat sits" for _ in batch])
-    captions, skipped = benchmark.frame_captions(chosen, clips, models)
-    assert captions.count() == 4 and skipped.count() == 0
-    combined = benchmark.aggregated(captions, ["raw", "centroid", "temporal", "unknown"])
-    configs = runs.configurations(spark, ["fps1"], ["raw"], ["vlm_only", "vlm_plus_llm"])
-    final = benchmark.finished(combined, configs, None, models)
-    assert final.count() == 12 and {r.caption for r in final.filter("caption_mode <> 'vlm_only'").collect()} == {"a cat sits"}
+    videos = spark.createDataFrame([("v", 4.0, 8), ("w", 4.0, 8), ("gone", 4.0, 8)], "video_id string, fps double, total_frames bigint")
     refs = spark.createDataFrame([("v", 1, "a cat sits"), ("w", 1, "a dog runs")], "video_id string, ref_no int, caption string")
-    scores = benchmark.scored(final, refs, refs)
-    telemetry = final.select("video_id", "sampling_method", "aggregation_method", "caption_mode").withColumns({"frames_selected": F.lit(2), "processing_time_s": F.lit(0.1), "peak_vram_mb": F.lit(0.0), "peak_ram_delta_mb": F.lit(0.0), "gpu_utilization_pct": F.lit(0.0)})
-    meta = videos.select("video_id", F.lit("fps1").alias("sampling_method"), F.lit(2).alias("candidate_pool_size"), F.lit(0).alias("frames_degenerate_dropped"), F.lit(False).alias("tass_stopped_early"), F.lit(2).alias("vlm_calls"))
-    table = runs.assembled(final, telemetry, scores, meta)
-    summary = benchmark.summary(table)
-    assert table.count() == 12 and summary.count() == 6
-    written = sinks.report(summary, sinks.metadata("today", 2, "test", gpu="none"))
-    assert "## Highlights" in written and "fps1" in written
+    models = benchmark.Models(lambda: lambda batch: [f"a cat {len(x) % 7}" for x in batch], lambda: lambda batch: ["a cat sits" for _ in batch], embed=_embed)
+    done = benchmark.run(videos, clips, refs, models, ["fps1", "random", "phash", "tass_fixed", "tass_adaptive", "unknown"], ["raw", "centroid", "temporal", "unknown"], ["vlm_only", "vlm_plus_llm"], info={"date": "today", "dataset": "test"}, out=str(tmp_path / "out"))
+    table = {(r.video_id, r.sampling_method, r.aggregation_method, r.caption_mode): r for r in done.rows.collect()}
+    assert len(table) == 2 * 5 * 3 * 2 and done.statistics.count() == 30
+    r = table["v", "fps1", "raw", "vlm_plus_llm"]
+    assert r.frames_selected == 2 and r.processing_time_s > 0 and r.cider > 0 and r.meteor > 0.9 and r.tass_candidate_pool is None and r.semantic_yield is None
+    assert table["v", "random", "raw", "vlm_only"].tass_candidate_pool == 2 and table["v", "random", "raw", "vlm_only"].semantic_yield is not None
+    assert {(x.video_id, x.reason) for x in done.skipped.collect()} == {("gone", "no frames")}
+    chosen = {(x.sampler, x.video_id): x for x in done.selections.collect()}
+    assert {s for s, _ in chosen} == {"fps1", "random", "phash", "tass_fixed", "tass_adaptive"}
+    assert chosen["fps1", "v"].original_frame_count is None and chosen["fps1", "v"].frame_indices == [0, 4] and chosen["random", "v"].reduction_pct == 75
+    text_ = (tmp_path / "out" / "reports" / "benchmark_summary.md").read_text()
+    assert text_ == done.report and "## Highlights" in text_ and "- **Best (CIDER)**: " in text_ and "Generated on: today" in text_ and "**Dataset**: test" in text_
+    back = datasets.runs_csv(spark, str(tmp_path / "out" / "csv" / "results"))
+    assert back.count() == 60
+    both, statistics, report = benchmark.combine_runs([back, back], out=str(tmp_path / "all"))
+    assert both.count() == 120 and statistics.count() == 30 and benchmark.COMBINED in report and "**Videos**: 2" in report
+    captions = spark.read.json(str(tmp_path / "out" / "captions"))
+    assert captions.count() == 60 and rows(captions.filter("video_id = 'v'").select("ground_truth").distinct()) == [(["a cat sits"],)]
+
+
+def test_baseline_flow(spark, tmp_path):
+    clips = frame_rows(spark, {v: noise(8, k * 10, 32, 24) for k, v in enumerate(("v", "w"))})
+    videos = spark.createDataFrame([("v", 4.0, 8), ("w", 4.0, 8), ("gone", 4.0, 8), ("none", 4.0, 0)], "video_id string, fps double, total_frames bigint")
+    refs = spark.createDataFrame([("v", 1, "a cat sits"), ("w", 1, "a dog runs")], "video_id string, ref_no int, caption string")
+
+    def load():
+        def model(images):
+            if len(images) > 12:
+                raise MemoryError
+            return "a cat sits"
+
+        return model
+
+    got, skipped, statistics = benchmark.baseline(videos, clips, refs, load, out=str(tmp_path / "out"))
+    table = {r.video_id: r for r in got.collect()}
+    assert set(table) == {"v", "w"} and table["v"].frames_selected == 16 and table["v"].actual_frames_used == 12 and table["v"].oom_fallback_triggered
+    assert table["v"].rouge_l == 1 and table["w"].cider < table["v"].cider and table["v"].benchmark_type == "single_model" and table["v"].processing_time_s >= 0
+    assert rows(skipped) == [("gone", "no frames"), ("none", "no frames")] and statistics.count() == 1
+    records = {r.video_id: r for r in spark.read.json(str(tmp_path / "out" / "captions")).collect()}
+    assert records["v"].asDict() == {"video_id": "v", "method": "qwen_vl_3b", "generated": "a cat sits", "reference": ["a cat sits"]}
+
+
+def test_perceptual_hash_by_definition():
+    """The hash of a 32 x 32 image from cosines written out."""
+    picture = np.random.default_rng(5).integers(0, 256, (32, 32)).astype(np.uint8)
+    k = np.arange(32)
+    low = [[sum(picture[y, x] * math.cos(math.pi * (2 * x + 1) * u / 64) * math.cos(math.pi * (2 * y + 1) * v / 64) for y in k for x in k) * (math.sqrt(0.5) if u == 0 else 1) * (math.sqrt(0.5) if v == 0 else 1) for u in range(8)] for v in range(8)]
+    flat = np.array(low).ravel()
+    bits = flat > np.median(flat[1:])
+    assert image.perceptual_hash(picture) & (2**64 - 1) == int("".join("1" if b else "0" for b in bits), 2)
 
 
 # --- sources and sinks
@@ -349,7 +452,7 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"videos": [{"video_id": " a "}, {"video_id": "b"}, {"video_id": "a"}, {"video_id": ""}], "sentences": [{"video_id": "a", "caption": " x ", "sen_id": 1}, {"video_id": "a", "caption": "", "sen_id": 2}, {"video_id": "c", "caption": "y", "sen_id": 3}]}))
     videos, refs = datasets.dataset_json(spark, str(tmp_path / "d.json"))
     assert rows(videos, "video_id") == [("a",)] and rows(refs) == [("a", 0, "x"), ("c", 2, "y")]
-    assert datasets.detect_fields(["n", "Caption", "video", "id"]) == ("video", "Caption")
+    assert datasets.detect_fields(["n", "Caption", "video", "id"]) == ("id", "Caption") and datasets.detect_fields(["captions", "video", "text", "vid_id"]) == ("vid_id", "text") and datasets.detect_fields(["video", "captions"]) == ("video", "captions")
     with pytest.raises(ValueError):
         datasets.detect_fields(["n"])
     one, many = spark.createDataFrame([("a", " x ")], "video_id string, caption string"), spark.createDataFrame([(1, ["y", " "])], "clip_id int, captions array<string>")
@@ -389,6 +492,8 @@ def test_raw_frames(spark, tmp_path):
     table = frames.raw_frames(spark, str(tmp_path))
     assert table.count() == 20 and bytes(table.filter("frame_idx = 3").first().data) == noise(20, 0, 16, 8)[3].tobytes()
     assert image.measured_frames(table.withColumn("data", F.lit(None).cast("binary"))).filter("hash is null").count() == 20
+    split = spark.read.format("rawframes").option("partBytes", "1000").option("framesPerBatch", "2").load((tmp_path).as_uri())
+    assert split.rdd.getNumPartitions() > 5 and rows(split, "frame_idx", "data") == rows(table, "frame_idx", "data")
 
 
 def test_config(tmp_path):
