@@ -10,6 +10,7 @@ blocks, so an id of any size is spread over tasks."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import NO_CAPTION, corpus_tokens, ngrams_to, or_placeholder, squeeze
+from ..functions.text import NO_CAPTION, corpus_tokens, or_placeholder, squeeze
 from ..session import stored
 
 #: Fixed values of the published metrics.
@@ -55,37 +56,67 @@ def prepared(references: DataFrame, hypotheses: DataFrame, normalise: bool = Fal
     return Texts(known, stored(hyps.join(known.select("of").distinct(), "of", "left_semi"), "hypotheses"))
 
 
-def document_frequency(corpus: DataFrame, id_col: str = "id", text_col: str = "caption", most: int = ORDERS) -> DataFrame:
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, whose tokens are the last column: its n-grams with their number, beside the other columns. A text's own n-grams
+    are counted where the text is, which a grouping of all n-grams of all texts would shuffle."""
+    for batch in batches:
+        row: list[int] = []
+        words: list[int] = []
+        sizes: list[int] = []
+        grams: list[str] = []
+        times: list[int] = []
+        for k, tokens in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            for n in range(1, min(ORDERS, len(tokens)) + 1):
+                counts = Counter(tokens if n == 1 else [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)])
+                row += [k] * len(counts)
+                words += [len(tokens)] * len(counts)
+                sizes += [n] * len(counts)
+                grams += counts
+                times += counts.values()
+        kept = batch.select(range(batch.num_columns - 1)).take(pa.array(row, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(words, pa.int32()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=[*kept.schema.names, "words", "n", "gram", "tf"])
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """The columns of texts but its last one, tokens, with (words, n, gram, tf)."""
+    kept = texts.schema.fields[:-1]
+    return texts.mapInArrow(_count_grams, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "words int, n int, gram string, tf bigint")
+
+
+def document_frequency(corpus: DataFrame, id_col: str = "id", text_col: str = "caption") -> DataFrame:
     """(n, gram, df, idf): in how many ids an n-gram occurs, and ln((ids + 1) / df). All captions of an id are one document."""
-    rows = corpus.select(F.col(id_col).alias("id"), corpus_tokens(text_col).alias("tokens")).filter("id is not null and size(tokens) > 0")
-    grams = rows.select("id", F.explode(ngrams_to("tokens", most)).alias("g")).select("id", "g.n", "g.gram").distinct()
-    n_ids = rows.agg(F.count_distinct("id").alias("n_ids"))
-    counted = grams.groupBy("n", "gram").agg(F.count("*").alias("df"))
-    return counted.join(F.broadcast(n_ids)).select("n", "gram", "df", F.ln((F.col("n_ids") + 1) / F.col("df")).alias("idf"))  # one row
+    told = corpus.select(F.col(id_col).alias("id"), corpus_tokens(text_col).alias("tokens")).filter("id is not null and size(tokens) > 0")
+    rows = stored(told, "corpus")
+    n_ids = rows.agg(F.count_distinct("id")).first()[0]
+    counted = _grams(rows).select("id", "n", "gram").distinct().groupBy("n", "gram").agg(F.count("*").alias("df"))
+    return counted.select("n", "gram", "df", F.ln((F.lit(n_ids) + 1) / F.col("df")).alias("idf"))
+
+
+def _norms(texts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """texts (…, tokens) with norms, an array of the norms of the weighted n-grams for each n, before the tokens."""
+    weighted = _grams(texts.select(key, "tokens")).join(idf.select("n", "gram", "idf"), ["n", "gram"])
+    square = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
+    found = weighted.groupBy(key).agg(F.array(*(F.sqrt(F.sum(F.when(F.col("n") == n, square).otherwise(0.0))) for n in range(1, ORDERS + 1))).alias("norms"))
+    return texts.join(found, key, "left").select(*(c for c in texts.columns if c != "tokens"), "norms", "tokens")
 
 
 def _overlaps(texts: Texts, idf: DataFrame | None) -> DataFrame:
     """(id, total, c1 to c4) of hypotheses that share an n-gram with a reference: the sum of similarities of CIDEr (null without idf), and clipped counts."""
-    h = texts.hyps.select(F.lit(True).alias("own"), F.col("id").cast("string").alias("key"), "of", F.lit(1).cast("bigint").alias("m"), "tokens")
-    r = texts.refs.select(F.lit(False).alias("own"), F.col("no").cast("string").alias("key"), "of", "m", "tokens")
-    each = h.unionByName(r).select("own", "key", "of", "m", F.size("tokens").alias("words"), F.explode(ngrams_to("tokens")).alias("g"))
-    grams = each.groupBy("own", "key", "of", "m", "words", "g.n", "g.gram").agg(F.count("*").alias("tf"))
-    if idf is None:
-        grams = grams.withColumn("idf", F.lit(0.0))
+    refs, hyps = texts.refs.select("no", "of", "m", "tokens"), texts.hyps.select("id", "of", "tokens")
+    if idf is not None:
+        refs, hyps = _norms(refs, "no", idf), _norms(hyps, "id", idf)
     else:
-        grams = grams.join(idf.select("n", "gram", "idf"), ["n", "gram"], "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    listed = grams.groupBy("own", "key", "of", "m", "words").agg(F.collect_list(F.struct("n", "gram", "tf", "idf")).alias("grams"))  # of one text
+        refs, hyps = (x.select(*x.columns[:-1], F.lit(None).cast("array<double>").alias("norms"), "tokens") for x in (refs, hyps))
 
-    def squares(n: int) -> Column:
-        return F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.when(g["n"] == n, g["tf"] * g["idf"] * g["tf"] * g["idf"]).otherwise(0.0))
+    def norm() -> Column:
+        return F.get("norms", F.col("n") - 1)
 
-    norms = F.array(*(F.sqrt(squares(n)) for n in range(1, ORDERS + 1)))
-    packed = stored(listed.withColumn("norms", norms), "grams")
-    each = packed.select("own", "key", "of", "m", "words", "norms", F.explode("grams").alias("g")).select("own", "key", "of", "m", "words", "g.*", F.col("norms")[F.col("g.n") - 1].alias("norm"))
-    inverse = F.when(F.col("norm") > 0, F.col("m") / F.col("norm")).otherwise(0.0)
-    entries = each.filter("not own").groupBy("of", "n", "gram", "tf", "words").agg(F.sum(inverse).alias("inverse"))
+    h = _grams(hyps).withColumn("norm", norm())
+    h = h.join(idf.select("n", "gram", "idf"), ["n", "gram"], "left") if idf is not None else h.withColumn("idf", F.lit(0.0))
+    inverse = F.when(norm() > 0, F.col("m") / norm()).otherwise(0.0)
+    entries = _grams(refs.drop("no")).groupBy("of", "n", "gram", "tf", "words").agg(F.sum(inverse).alias("inverse"))
     known = entries.groupBy("of", "n", "gram").agg(F.collect_list(F.struct("tf", "words", "inverse")).alias("entries"), F.max("tf").alias("most"))  # by counts and lengths, not by references
-    met = each.filter("own").join(known, ["of", "n", "gram"])
+    met = h.join(known, ["of", "n", "gram"])
 
     def bigrams(words: Column) -> Column:
         return F.greatest(words - 1, F.lit(0))
@@ -95,8 +126,7 @@ def _overlaps(texts: Texts, idf: DataFrame | None) -> DataFrame:
         return total + F.least(F.col("tf"), e["tf"]) * e["tf"] * e["inverse"] * F.exp(-(apart * apart) / (2 * SIGMA * SIGMA))
 
     similar = F.when(F.col("norm") > 0, F.aggregate("entries", F.lit(0.0), add) * F.col("idf") * F.col("idf") / F.col("norm")) if idf is not None else F.lit(None).cast("double")
-    clipped = F.least("tf", "most")
-    rows = met.select(F.col("key").cast(texts.hyps.schema["id"].dataType).alias("id"), "n", similar.alias("similar"), clipped.alias("clipped"))
+    rows = met.select("id", "n", similar.alias("similar"), F.least("tf", "most").alias("clipped"))
     return rows.groupBy("id").agg(F.sum("similar").alias("total"), *(F.sum(F.when(F.col("n") == n, F.col("clipped")).otherwise(0)).alias(f"c{n}") for n in range(1, ORDERS + 1)))
 
 
@@ -106,7 +136,8 @@ def _gram_scores(texts: Texts, idf: DataFrame | None) -> DataFrame:
     t = F.size("tokens")
     closest = F.array_min(F.transform("lengths", lambda n: F.struct(F.abs(n - F.col("t")).alias("d"), n.alias("n"))))["n"]
     base = texts.hyps.select("id", "of", t.alias("t")).join(lengths, "of").select("id", "t", "n_refs", closest.alias("l"))
-    rows = base.join(_overlaps(texts, idf), "id", "left").fillna(0, [f"c{n}" for n in range(1, ORDERS + 1)])
+    weights = None if idf is None else stored(idf.select("n", "gram", "idf"), "idf")  # three joins read it
+    rows = base.join(_overlaps(texts, weights), "id", "left").fillna(0, [f"c{n}" for n in range(1, ORDERS + 1)])
     ratio = (F.col("t") + TINY) / (F.col("l") + SMALL)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
     logs = [F.ln((F.col(f"c{n}") + TINY) / (F.greatest(F.col("t") - n + 1, F.lit(0)) + SMALL)) for n in range(1, ORDERS + 1)]

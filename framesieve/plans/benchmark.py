@@ -108,7 +108,7 @@ def finished(combined: DataFrame, modes: list[str], transcripts: DataFrame | Non
 def scored(final: DataFrame, references: DataFrame, corpus: DataFrame, stems: bool = True) -> DataFrame:
     """Metrics of each (video_id, sampling_method, aggregation_method, caption_mode), against the references of its video."""
     own = final.select(*KEYS, "caption").withColumn("id", F.concat_ws("\x1f", *KEYS))
-    idf = stored(score.document_frequency(corpus, "video_id", "caption"), "idf")
+    idf = score.document_frequency(corpus, "video_id", "caption")
     refs = references.select(F.col("video_id").alias("id"), "ref_no", "caption")
     found = score.all_metrics(refs, own.select("id", F.col("video_id").alias("of"), "caption"), idf, stems)
     return stored(own.select("id", *KEYS).join(found, "id").drop("id"), "scores")
@@ -201,7 +201,7 @@ def baseline(videos: DataFrame, frames: DataFrame, references: DataFrame, load:
     images = infer.encoded_frames(chosen, encode) if encode else infer.encoded_frames(chosen)
     told = stored(infer.answered(places.join(images, ["video_id", "frame_idx"], "left"), load, model=model), "answers")
     good = told.filter("error is null").drop("error")
-    idf = stored(score.document_frequency(references if corpus is None else corpus, "video_id", "caption"), "idf")
+    idf = score.document_frequency(references if corpus is None else corpus, "video_id", "caption")
     scores = score.all_metrics(references.select(F.col("video_id").alias("id"), "ref_no", "caption"), good.select(F.col("video_id").alias("id"), F.col("generated_caption").alias("caption")), idf, stems=True)
     rows = good.join(scores.withColumnRenamed("id", "video_id"), "video_id", "left").fillna(0.0, runs.SCORES)
     rows = rows.join(resources.select("video_id", *RESOURCES), "video_id", "left") if resources is not None else rows

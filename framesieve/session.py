@@ -21,7 +21,9 @@ DEFAULTS = {
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench on one machine."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("framesieve")
-    conf = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory}
+    # Small tables of texts grow many times when they are cut into n-grams; parts of a megabyte would leave cores without work.
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    conf = DEFAULTS | small | {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory}
     spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
