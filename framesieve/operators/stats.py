@@ -157,10 +157,15 @@ def bar_means(runs: DataFrame) -> DataFrame:
     return long.filter("x is not null and pipeline_config is not null and caption_mode is not null").groupBy("pipeline_config", "caption_mode", "metric").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 
 
-def bootstrap_means(runs: DataFrame, metric: str, keys: list[str] | None = None, draws: int = 200, parts: int = 1024) -> DataFrame:
+def _uniform(*columns: Column | str) -> Column:
+    """A number from 0 to 2**28 - 1 that follows from the columns, whose texts are the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 7), 16, 10).cast("bigint")
+
+
+def bootstrap_means(runs: DataFrame, metric: str, keys: list[str] | None = None, id_col: str = "row_id", draws: int = 200, parts: int = 1024) -> DataFrame:
     """(*keys, lower, upper): 95 % interval of the mean by a seeded Poisson bootstrap.
 
-    Rows are first summed within at most `parts` parts of a group, chosen by a hash of the row; parts, not rows, are drawn. A small group
+    Rows are first summed within at most `parts` parts of a group, chosen by a hash of id_col; parts, not rows, are drawn. A small group
     has about a row a part; a group of any size costs one aggregation of its rows and parts * draws sums."""
     keys = keys or KEYS
     steps, total, p = [], 0.0, math.exp(-1)
@@ -168,10 +173,10 @@ def bootstrap_means(runs: DataFrame, metric: str, keys: list[str] | None = None,
         total += p
         steps.append(total)
         p /= k + 1
-    rows = runs.select(*keys, value(metric).alias("x"), F.pmod(F.xxhash64(*runs.columns), F.lit(parts)).alias("part")).dropna(subset=[*keys, "x"])
+    rows = runs.select(*keys, value(metric).alias("x"), F.pmod(_uniform(F.col(id_col).cast("string")), F.lit(parts)).alias("part")).dropna(subset=[*keys, "x"])
     sums = rows.groupBy(*keys, "part").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     drawn = sums.select(*keys, "part", "s", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u = F.pmod(F.xxhash64(*keys, "part", "draw"), F.lit(1 << 30)) / float(1 << 30)
+    u = _uniform(*keys, F.col("part").cast("string"), F.col("draw").cast("string")) / float(1 << 28)
     weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
     means = drawn.withColumn("w", weight).groupBy(*keys, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return means.groupBy(*keys).agg(F.percentile("mean", 0.025).alias("lower"), F.percentile("mean", 0.975).alias("upper"))

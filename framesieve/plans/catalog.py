@@ -6,6 +6,7 @@ and all_metrics and rouge_meteor, take every row), embeddings as hash inputs and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -560,9 +561,21 @@ def bar_means(spark, d):
     return _rounded(stats.bar_means(_runs(spark, d)))
 
 
-@query()
+def _steps() -> list[float]:
+    """Chances of a Poisson variable of mean 1 to be at most 0, 1, ..., 11."""
+    return [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+_DRAWN = f"""{_LAST}, b AS (SELECT {_KEYS}, cider AS x, CAST('0x' || md5(CAST(row_id AS VARCHAR))[1:7] AS BIGINT) % 1024 AS part FROM RUNS WHERE cider IS NOT NULL AND NOT isnan(cider) AND sampling_method IS NOT NULL AND aggregation_method IS NOT NULL AND caption_mode IS NOT NULL),
+p AS (SELECT {_KEYS}, part, sum(x) AS s, count(*) AS n FROM b GROUP BY ALL),
+u AS (SELECT *, CAST('0x' || md5(concat_ws('|', {_KEYS}, part, draw))[1:7] AS BIGINT) / 268435456.0 AS u FROM p, (SELECT unnest(range(1, 201)) AS draw)),
+w AS (SELECT {_KEYS}, draw, s, n, {" + ".join(f"CASE WHEN u > {x!r} THEN 1 ELSE 0 END" for x in _steps())} AS w FROM u),
+m AS (SELECT {_KEYS}, draw, sum(w * s) / nullif(sum(w * n), 0) AS mean FROM w GROUP BY ALL)"""
+
+
+@query(f"WITH {_DRAWN} SELECT {_KEYS}, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper FROM m GROUP BY ALL")
 def bar_intervals(spark, d):
-    return stats.bootstrap_means(_runs(spark, d), "cider")
+    return _six(stats.bootstrap_means(_runs(spark, d).filter("row_id is not null"), "cider"))
 
 
 @query("SELECT DISTINCT sampling_method, CASE sampling_method WHEN 'fps1' THEN 0 WHEN 'fps2' THEN 1 WHEN 'random' THEN 2 WHEN 'phash' THEN 3 WHEN 'tass_fixed' THEN 4 WHEN 'tass_adaptive' THEN 5 ELSE 99 END AS place FROM results WHERE sampling_method IS NOT NULL")

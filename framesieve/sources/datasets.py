@@ -102,6 +102,11 @@ def video_files(spark: SparkSession, folder: str, suffix: str = ".mp4") -> DataF
     return files.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("video_id"), F.col("path").alias("video_path"))
 
 
+def acquired(files: DataFrame, least: int = 10) -> bool:
+    """Whether there are files enough that nothing has to be fetched; no more of them are counted than that."""
+    return files.limit(least).count() >= least
+
+
 def with_files(videos: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(videos with their files, videos whose file is missing)."""
     return videos.join(files, "video_id"), videos.join(files.select("video_id"), "video_id", "left_anti")

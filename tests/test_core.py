@@ -4,14 +4,17 @@ import json
 import math
 import random
 import zipfile
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from conftest import frame_rows, noise, ramp, white
 from framesieve.config import Config
 from framesieve.functions import image, text, vector
-from framesieve.operators import combine, infer, runs, score, select, stats
+from framesieve.operators import combine, folds, infer, order, runs, score, select, stats
 from framesieve.plans import benchmark
+from framesieve.session import checkpoint_folder, released, stored
 from framesieve.sources import datasets, frames, sinks
 from pyspark.sql import functions as F
 
@@ -20,6 +23,51 @@ def rows(df, *columns):
     return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
 
 
+# --- session
+
+
+def test_shared_folder(spark):
+    """A cluster without a shared folder is refused; a local master, and a named folder, are not."""
+
+    def session(master, folder=None):
+        unset = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, _jsc=unset))
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            checkpoint_folder(session(master))
+        assert checkpoint_folder(session(master, "hdfs:///x")) == "hdfs:///x"
+    assert checkpoint_folder(session("local[4]")).startswith("file:///")
+
+
+def test_stored_and_released(spark):
+    table = stored(spark.range(10), "numbers")
+    [folder] = {x.rsplit("/", 1)[0] for x in table.inputFiles()}
+    assert table.count() == 10 and Path(folder.removeprefix("file:")).exists()
+    released(table)
+    assert not Path(folder.removeprefix("file:")).exists()
+    released(spark.range(3))  # no table of ours
+
+
+def test_order_statistics(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 1.0, 1.0, rng.gauss(0, 9)])) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    own = {}
+    for g, v in data:
+        if v is not None:
+            own.setdefault(g, []).append(v)
+    got = {r.g: r for r in order.order_statistics(df, ["g"], "v", lambda n: F.array(F.lit(1).cast("bigint"), n, F.ceil(n / 3))).collect()}
+    assert set(got) == set(own)
+    for g, v in own.items():
+        v.sort()
+        assert got[g].n == len(v) and got[g]["values"] == [v[0], v[-1], v[math.ceil(len(v) / 3) - 1]]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for r in order.percentiles(df, ["g"], "v", shares).collect():
+        assert np.allclose(r["values"], np.percentile(own[r.g], [100 * p for p in shares]))
+    assert order.percentiles(df.filter("v > 1e9"), ["g"], "v", shares).count() == 0
+
+
 # --- text and vectors
 
 
@@ -70,6 +118,7 @@ def test_random_uniform_budget(spark):
     counts = {r.video_id: r["count"] for r in select.random_sample(videos).groupBy("video_id").count().collect()}
     assert counts == {"a": 10, "b": 3, "d": 3}
     assert sorted(r.frame_idx for r in select.mersenne_sample(videos).filter("video_id = 'a'").collect()) == sorted(random.Random(42).sample(range(95), 10))
+    assert rows(select.read_until(select.interval_indices(videos))) == [("a", 91), ("b", 61), ("d", 3)]
     assert [r.frame_idx for r in select.uniform_indices(videos.filter("video_id = 'd'"), 5).orderBy("place").collect()] == [0, 0, 1, 1, 2]
     chosen = select.frames_of(videos).filter("video_id = 'a' and frame_idx < 14")
     assert {r.budget for r in select.budget_indices(chosen).collect()} == {12, 8}
@@ -100,6 +149,49 @@ def test_changes(spark):
     assert select.changes(df.filter("hash is null"), 2).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_of_long_keys(spark, seed):
+    """A key in many parts is folded as in one, with and without a cap, for folds that agree soon, late or never."""
+    rng = random.Random(seed)
+    step = (1, 40, 3)[seed]
+    x, data = 0, []
+    for k in range(1500):
+        x += rng.choice([-1, 0, 1]) * step if seed < 2 else 1
+        data.append(("long", k, x))
+    data += [("short", k, k) for k in range(5)] + [(None, k, 7) for k in range(3)]
+    df = spark.createDataFrame(data, "g string, k int, x int").repartition(6)
+    for most in (None, 11):
+        want = []
+        for g in ("long", "short", None):
+            last, kept = None, 0
+            for _, k, v in (r for r in data if r[0] == g):
+                if (most is None or kept < most) and (last is None or abs(v - last) > 4):
+                    last, kept = v, kept + 1
+                    want.append((g, k))
+        assert rows(folds.chained(df, ["g"], ["k"], "x", lambda a, b: abs(a - b) > 4, most), "g", "k") == sorted(want, key=repr)
+
+
+def test_diverse_groups(spark):
+    """Groups over several Arrow batches, null vectors, and a group that is too large for a task."""
+    rng = np.random.default_rng(8)
+    data = [(f"v{k % 3}", k, None if k % 50 == 0 else (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(rng.normal(size=(600, 4)))]
+    df = spark.createDataFrame(data, "g string, k int, e array<double>").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = rows(select.diverse(df, "g", "k", "e", 12, adaptive=False), "g", "rank", "k")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for g in ("v0", "v1", "v2"):
+        own = [(k, e) for x, k, e in data if x == g and e]
+        taken, _ = select.farthest_first(np.array([e for _, e in own]), 12)
+        want += [(g, n + 1, own[t][0]) for n, t in enumerate(taken)]
+    assert got == sorted(want, key=repr)
+    with pytest.raises(Exception, match="filter them for changes"):
+        select.diverse(df, "g", "k", "e", 12, most_bytes=1000).collect()
+
+
 def test_farthest_first():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(60, 16))
@@ -249,7 +341,7 @@ def test_grouped_statistics(spark):
 
 def test_bootstrap_and_labels(spark, data):
     rng = random.Random(1)
-    df = spark.createDataFrame([("a", "raw", "m", rng.gauss(5, 1)) for _ in range(400)], "sampling_method string, aggregation_method string, caption_mode string, cider double")
+    df = spark.createDataFrame([("a", "raw", "m", rng.gauss(5, 1), k) for k in range(400)], "sampling_method string, aggregation_method string, caption_mode string, cider double, row_id bigint")
     [r] = stats.bootstrap_means(df, "cider").collect()
     assert 4.7 < r.lower < 5 < r.upper < 5.3
     points = spark.createDataFrame([("a", "x", "m", 1.01, 0.5), ("b", "x", "m", 1.02, 0.51), ("c", "x", "m", 1.03, 0.9), ("d", "x", "m", 3.0, 0.5)], "sampling_method string, aggregation_method string, caption_mode string, processing_time_s double, cider double")
@@ -413,6 +505,26 @@ def test_benchmark_run(spark, tmp_path):
     assert captions.count() == 60 and rows(captions.filter("video_id = 'v'").select("ground_truth").distinct()) == [(["a cat sits"],)]
 
 
+def stand_ins():
+    return benchmark.Models(lambda: lambda batch: ["a cat sits" for _ in batch])
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from framesieve.__main__ import main
+
+    (tmp_path / "frames").mkdir()
+    for k, v in enumerate("ab"):
+        np.save(tmp_path / "frames" / f"{v}.npy", noise(6, k, 16, 8))
+    (tmp_path / "d.json").write_text(json.dumps({"videos": [{"video_id": v} for v in "abc"], "sentences": [{"video_id": v, "caption": f"a cat {v}", "sen_id": k} for k, v in enumerate("abc")]}))
+    (tmp_path / "c.yaml").write_text("experiment: {videos: 3, fps: 2}\npipeline: {samplers: [fps1, random], aggregators: [raw], caption_modes: [vlm_only]}\nmodels: {vlm: {name: m, revision: r}}\n")
+    given = ["--config", str(tmp_path / "c.yaml"), "--data", str(tmp_path / "d.json"), "--frames", str(tmp_path / "frames"), "--output-dir", str(tmp_path / "out")]
+    assert main(["run", *given, "--models", "test_core:stand_ins"]) == 0
+    assert "**VLM**: m" in capsys.readouterr().out and datasets.runs_csv(spark, str(tmp_path / "out" / "csv" / "results")).count() == 4
+    assert main(["combine", "--runs", str(tmp_path / "out" / "csv" / "results"), "--output-dir", str(tmp_path / "all")]) == 0
+    assert "**Videos**: 2" in capsys.readouterr().out
+    assert datasets.acquired(spark.range(12)) and not datasets.acquired(spark.range(9))
+
+
 def test_baseline_flow(spark, tmp_path):
     clips = frame_rows(spark, {v: noise(8, k * 10, 32, 24) for k, v in enumerate(("v", "w"))})
     videos = spark.createDataFrame([("v", 4.0, 8), ("w", 4.0, 8), ("gone", 4.0, 8), ("none", 4.0, 0)], "video_id string, fps double, total_frames bigint")

@@ -1,6 +1,7 @@
 """Every registered core query against its SQL on the smallest test data; streams against their tables."""
 
 import math
+import time
 from pathlib import Path
 
 import duckdb
@@ -66,20 +67,27 @@ def test_changes_of_large_labels(spark, tmp_path):
     assert select.changes(table, most=None).count() == 2100
 
 
-def test_streamed_changes(spark, tmp_path):
-    """Two batches of a stream keep what one table keeps."""
+@pytest.mark.parametrize(("most", "ttl_ms"), [(None, None), (7, None), (None, 3_600_000)])
+def test_streamed_changes(spark, tmp_path, most, ttl_ms):
+    """Two batches of a stream keep what one table keeps, a cap on the rows of a key included."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     table = spark.range(200).selectExpr("concat('v', id % 3) as video_id", "id as frame_idx", "xxhash64(id div 5) as hash")
     for k in (0, 1):
         table.filter(f"frame_idx >= {100 * k} and frame_idx < {100 * k + 100}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    kept = selectors.stream_changes(stream, 20)
-    q = kept.writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp")).start()
+    kept = selectors.stream_changes(stream, 20, most=most, ttl_ms=ttl_ms)
+    writer = kept.writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "cp"))
+    want = sorted((r.video_id, r.frame_idx) for r in select.changes(table, 20, most=most).collect())
+    q = (writer if ttl_ms else writer.trigger(availableNow=True)).start()
     try:
-        q.processAllAvailable()
+        if ttl_ms:  # a query with timers goes on without data
+            until = time.monotonic() + 60
+            while time.monotonic() < until and spark.sql("select * from kept").count() < len(want):
+                time.sleep(1)
+        else:
+            assert q.awaitTermination(120)
     finally:
         q.stop()
-    want = sorted((r.video_id, r.frame_idx) for r in select.changes(table, 20).collect())
     assert sorted((r.video_id, r.frame_idx) for r in spark.sql("select * from kept").collect()) == want and len(want) > 3
 
 
