@@ -115,20 +115,21 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def radix_buckets(blocks: DataFrame, bucket_rows: int, max_splits: int = 65536) -> DataFrame:
     """Adds `bucket`: the shortest prefix of whole digits that at most bucket_rows rows of blocks share.
 
-    One pass per digit, over the rows of oversized buckets only. The prefixes that were split are joined by value, not
-    broadcast by hand; raising bucket_rows with the input keeps them at max_splits a digit. A bucket of equal strings
+    One pass per digit, over the rows of oversized buckets only, which are stored for the next pass. The prefixes that were split are joined by
+    value, not broadcast by hand; raising bucket_rows with the input keeps them at max_splits a digit. A bucket of equal strings
     is not split: it has one row a block, and its trie one node."""
-    bucket_rows = max(bucket_rows, -(-blocks.count() // max_splits))
     done, open_rows, depth = None, blocks, DIGIT
     while True:
         cut = open_rows.withColumn("bucket", F.substring("canon", 1, depth))
-        sizes = cut.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("canon")).alias("least"), F.max(F.xxhash64("canon")).alias("most"))
+        sizes = stored(cut.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("canon")).alias("least"), F.max(F.xxhash64("canon")).alias("most")), "sizes")
+        if done is None:
+            bucket_rows = max(bucket_rows, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // max_splits))
         large = sizes.filter((F.col("n") > bucket_rows) & (F.col("least") < F.col("most"))).select("bucket")
         if large.isEmpty():
             return cut if done is None else done.unionByName(cut)
         fits = cut.join(large, "bucket", "left_anti")
         done = fits if done is None else done.unionByName(fits)
-        open_rows = cut.join(large, "bucket", "left_semi").drop("bucket")
+        open_rows = stored(cut.join(large, "bucket", "left_semi").drop("bucket"), "open")
         depth *= 2
 
 

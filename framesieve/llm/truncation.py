@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .common import joined_by_key
 
 TERMINAL = re.compile(r"[.!?。।؟！？][\"'”’»)\]*_]*$")
 #: Signs by which a text says itself that it was cut: dots, or a remark in brackets at its end.
@@ -195,9 +196,9 @@ def truncation(df: DataFrame, id_col: str, text_col: str, source_col: str, low:
 
     # A text delivered again says nothing new: copies of a cut text would vouch for its ending.
     once = chosen.filter("text is not null").select("text").mapInArrow(_spelled, "text string").distinct()
-    counts = once.mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    counts = stored(once.mapInArrow(_count, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "counts")
     asked = states.filter("state in ('open', 'loose')").select("row", F.posexplode("keys").alias("at", "key"))
-    met = asked.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(6) for c in ("n", "ends")))
+    met = joined_by_key(asked, counts, "key").groupBy("row").agg(*(F.coalesce(F.sum(F.when(F.col("at") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in range(6) for c in ("n", "ends")))
     smooth = F.lit(4.0)  # pseudo-counts of the wider evidence; the ending that is asked for does not speak for itself
 
     def share(k: int, wider: Column) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from framesieve.functions.text import py_words
 from framesieve.llm import bpe, distinctive, leaks, quantiles, ranking, records, repetition, stuffing, terms, truncation
+from framesieve.llm import common
 from framesieve.llm.common import one_per_id
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def test_marks_and_ids(spark):
         terms.term_counts(twice, "c0", 0)
 
 
+def test_joined_by_key(spark, monkeypatch):
+    left = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 7}") for k in range(200)] + [(999, "none"), (1000, None)], "row int, key string").repartition(3)
+    table = spark.createDataFrame([("hot", 1), *((f"k{k}", k) for k in range(6))], "key string, n int")
+    want = rows(left.join(table, "key", "left"), "row", "key", "n")
+    for hot in (1000, 50, 0):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_SHARE", 0.0)
+        assert rows(common.joined_by_key(left, table, "key"), "row", "key", "n") == want
+
+
 # 2
 
 
