@@ -3,11 +3,13 @@
 import json
 import math
 import random
+import re
 import zipfile
 from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import frame_rows, noise, ramp, white
 from framesieve.config import Config
@@ -317,6 +319,31 @@ def test_scores(spark):
     assert (d.blank_references, d.blank_hypotheses, d.too_few) == (2, 1, True)
 
 
+@pytest.mark.parametrize("name", ["cider", "bleu", "all_metrics"])
+def test_texts_and_grams_are_not_broadcast(spark, name):
+    """Small files of texts become large tables of n-grams: no join of them goes through the driver."""
+    refs = spark.createDataFrame([("v", k, f"a cat sits on mat {k}") for k in range(20)], "id string, ref_no int, caption string")
+    hyps = spark.createDataFrame([(k, "v", f"the cat sits on mat {k}") for k in range(20)], "id int, of string, caption string")
+    idf = [] if name == "bleu" else [score.document_frequency(refs)]
+    plan = getattr(score, name)(refs, hyps, *idf)._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(\w+Join|CartesianProduct)\b([^\n]*)", plan)
+    grams = [kind for kind, keys in joins if "gram#" in keys]
+    assert set(grams) == {"SortMergeJoin"}, joins
+    # Beside them: the texts with the lengths of their references, and blocks with blocks.
+    assert sum(kind == "SortMergeJoin" and keys.startswith(" [of#") and "gram#" not in keys for kind, keys in joins) == (2 if name == "all_metrics" else 1), joins
+
+
+def test_grams_in_batches(monkeypatch):
+    """A batch of texts gives batches of n-grams of bounded size, and all n-grams."""
+    texts = [[f"w{k % 3}", "of", f"w{k}", "of", f"w{k % 3}"][: k % 6] for k in range(200)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(200)), "tokens": texts})
+    [whole] = score._count_grams([batch])
+    monkeypatch.setattr(score, "BATCH", 50)
+    parts = list(score._count_grams([batch]))
+    assert len(parts) > 10 and max(p.num_rows for p in parts) < 50 + 20
+    assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches([whole]).combine_chunks())
+
+
 # --- statistics
 
 
