@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zipfile
 from pathlib import Path
 from types import SimpleNamespace
@@ -288,6 +289,32 @@ def test_aggregators(spark, monkeypatch, block):
     assert combine.medoid(df.filter("n > 99"), "k", "n", "c").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_of_similarities(monkeypatch, seed):
+    """Counting by shared words gives the sums of all pairs, with frequent, rare and no words, and sets of many."""
+    monkeypatch.setattr(combine, "CHUNK", 16)
+    monkeypatch.setattr(combine, "HOT", (0, 2, 16, 3)[seed])
+    monkeypatch.setattr(combine, "LONG", (48, 5, 48, 3)[seed])
+    rng = np.random.default_rng(seed)
+    sides = [[np.unique((rng.random(rng.integers(0, 9)) ** 3 * 40).astype(int)) for _ in range(m)] for m in (90, 70)]
+    n = rng.integers(1, 4, 70).astype(float)
+    want = [sum(w * brute_jaccard(set(x.tolist()), set(y.tolist())) for y, w in zip(sides[1], n, strict=True)) for x in sides[0]]
+    packed = [v for side in sides for v in (np.concatenate(side), np.array([len(x) for x in side]))]
+    np.testing.assert_allclose(combine._sums(*packed, n), want, atol=1e-9)
+    np.testing.assert_allclose(combine._dense(*packed, n), want, atol=1e-9)
+
+
+def test_sums_of_many_sets():
+    """50,000 sets are compared with each other by shared words; by products that took minutes."""
+    rng = np.random.default_rng(5)
+    sets = np.sort(rng.random((50_000, 5)) ** 2 * 5000, axis=1).astype(int) + np.arange(5)
+    began = time.process_time()
+    got = combine._sums(sets.ravel(), np.full(50_000, 5), sets.ravel(), np.full(50_000, 5), np.ones(50_000))
+    assert time.process_time() - began < 60
+    some = sets[:20]
+    np.testing.assert_allclose(got[:20], combine._dense(some.ravel(), np.full(20, 5), sets.ravel(), np.full(50_000, 5), np.ones(50_000)), atol=1e-6)
+
+
 # --- scores
 
 
