@@ -360,6 +360,13 @@ def test_texts_and_grams_are_not_broadcast(spark, name):
     assert sum(kind == "SortMergeJoin" and keys.startswith(" [of#") and "gram#" not in keys for kind, keys in joins) == (2 if name == "all_metrics" else 1), joins
 
 
+def test_references_without_hypothesis(spark):
+    """References of ids that nothing is scored against are not prepared."""
+    refs = spark.createDataFrame([(v, k, f"a cat {k}") for v in "vwx" for k in range(3)], "id string, ref_no int, caption string")
+    texts = score.prepared(refs, spark.createDataFrame([(1, "v", "a cat")], "id int, of string, caption string"))
+    assert rows(texts.refs, "of", "m") == [("v", 1)] * 3 and texts.hyps.count() == 1
+
+
 def test_grams_in_batches(monkeypatch):
     """A batch of texts gives batches of n-grams of bounded size, and all n-grams."""
     texts = [[f"w{k % 3}", "of", f"w{k}", "of", f"w{k % 3}"][: k % 6] for k in range(200)]
